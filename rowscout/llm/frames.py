@@ -93,3 +93,37 @@ def coalesced_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text string); null texts become empty."""
     got = pick(df, **{id_col: "long", text_col: "string"})
     return got.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def hash_slots(keys, n: int):
+    """The shuffle partition, of n, that Spark deals each INT key to: Murmur3 (32 bits, seed 42), modulo n."""
+    import numpy as np
+
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    with np.errstate(over="ignore"):
+        k = turn(np.asarray(keys).astype(np.int32).view(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64) % n
+
+
+def even_keys(n: int) -> list[int]:
+    """n INT keys of which Spark deals one to each of n shuffle partitions, where plain 0 .. n - 1 would leave some
+    partitions empty and give others several."""
+    import numpy as np
+
+    if n > 20_000:  # the keys are literals of a plan; with so many partitions chance evens out
+        return list(range(n))
+    out = np.full(n, -1, np.int64)
+    at = 0
+    while (out < 0).any():
+        keys = np.arange(at, at + 16 * n)
+        slots = hash_slots(keys, n)
+        fresh, first = np.unique(slots, return_index=True)
+        free = out[fresh] < 0
+        out[fresh[free]] = keys[first[free]]
+        at += 16 * n
+    return out.tolist()

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions, position
+from .frames import even_keys, partitions, position
 
 #: Multipliers of the rolling hash and of its finish: odd 64-bit numbers without structure.
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,9 +109,10 @@ def _chunk_runs(buf, off, length, q):
     return key, starts[new], np.diff(np.r_[new, total])
 
 
-def split_key(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and shortened key in one number."""
-    return (key >> np.uint64(24)) & np.uint64((1 << ID_BITS) - 1) | ((key & np.uint64(0xFFFFFF)) % np.uint64(buckets)) << np.uint64(ID_BITS)
+def split_key(key: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Bucket (one of those given) and shortened key in one number."""
+    bucket = buckets[((key & np.uint64(0xFFFFFF)) % np.uint64(len(buckets))).astype(np.int64)].astype(np.uint64)
+    return (key >> np.uint64(24)) & np.uint64((1 << ID_BITS) - 1) | bucket << np.uint64(ID_BITS)
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -160,7 +161,7 @@ def spans_of(starts: np.ndarray, n: int):
     return zip(starts.tolist(), np.r_[starts[1:], n][: len(starts)].tolist(), strict=True)
 
 
-def anchors_of_part(part: Part, pid: int, length: int, q: int, buckets: int) -> pa.Table:
+def anchors_of_part(part: Part, pid: int, length: int, q: int, buckets: np.ndarray) -> pa.Table:
     key, doc, _, _ = part.runs(length, q)
     key = split_key(key, buckets)
     order = np.argsort(key, kind="stable")  # documents stay ascending, and ids with them
@@ -247,7 +248,7 @@ def row_classes(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.flatnonzero(new)
 
 
-def runs_of_part(part: Part, pid: int, replies: pa.Table, length: int, q: int, buckets: int) -> pa.Table:
+def runs_of_part(part: Part, pid: int, replies: pa.Table, length: int, q: int, buckets: np.ndarray) -> pa.Table:
     """What a part sends on: runs for their buckets, and the ranges settled within the part for itself."""
     import zstandard
 
@@ -453,8 +454,10 @@ def _cut(docs: DataFrame, build, schema: str, id_col: str, text_col: str, length
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     i, t = position(names, id_col), position(names, text_col)
     plain = plain.withColumn(f"_c{i}", F.col(f"_c{i}").cast("long")).withColumn(f"_c{t}", F.col(f"_c{t}").cast("string"))
-    parts = 3 * partitions(docs.sparkSession)
-    plain = plain.withColumn("pid", F.pmod(F.xxhash64(f"_c{i}", f"_c{t}"), F.lit(parts)).cast("int"))
+    # a part for each shuffle partition and no more: what parts and buckets tell each other is a row for each pair
+    parts = np.array(even_keys(partitions(docs.sparkSession)))
+    slot = F.pmod(F.xxhash64(f"_c{i}", f"_c{t}"), F.lit(len(parts))).cast("int")
+    plain = plain.withColumn("pid", F.get(F.lit(parts.astype(np.int32)), slot) if len(parts) <= 20_000 else slot)
     width = len(names)
 
     def anchors(key, got):
