@@ -34,7 +34,7 @@ def quat_norm(q: Quat) -> Column:
 def quat_normalize(q: Quat) -> list[Column]:
     """Unit quaternion; a zero quaternion raises."""
     n = quat_norm(q)
-    ok = F.when(n > 0, n).otherwise(F.raise_error(F.lit("quaternion has no length")).cast("double"))
+    ok = F.when(n == 0, F.raise_error(F.lit("quaternion has no length")).cast("double")).otherwise(n)
     return [c / ok for c in q]
 
 
@@ -49,7 +49,7 @@ def with_slerp(df: DataFrame, p: Quat, q: Quat, t: Column, names: Sequence[str],
         t = F.when((t >= 0) & (t <= 1), t).otherwise(F.raise_error(F.lit("slerp needs 0 <= t <= 1")).cast("double"))
     c = lambda name: F.col(f"_slerp_{name}")
     add = lambda df, **cols: df.withColumns({f"_slerp_{k}": v for k, v in cols.items()})
-    none = lambda n: F.when(n > 0, n).otherwise(F.raise_error(F.lit("quaternion has no length")).cast("double"))
+    none = lambda n: F.when(n == 0, F.raise_error(F.lit("quaternion has no length")).cast("double")).otherwise(n)
     out = add(df, t=t, na=quat_norm(p), nb=quat_norm(q))
     out = add(out, na=none(c("na")), nb=none(c("nb")))
     out = add(out, **{f"a{i}": x / c("na") for i, x in enumerate(p)}, **{f"b{i}": x / c("nb") for i, x in enumerate(q)})

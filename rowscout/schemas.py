@@ -47,10 +47,10 @@ IMU_CHANNELS = ("ax", "ay", "az", "gx", "gy", "gz")
 #: Query channels, with the tensor columns, unit and frame of each.
 CHANNELS = {
     "pos_xyz": (("x", "y", "z"), "m", "world"),
-    "rot_wxyz": (("qw", "qx", "qy", "qz"), "unit_quaternion", "world_from_body"),
+    "rot_wxyz": (("qw", "qx", "qy", "qz"), "1", "world"),
     "vel_xyz": (("vx", "vy", "vz"), "m/s", "world"),
-    "imu_accel": (("ax", "ay", "az"), "m/s^2", "body"),
-    "imu_gyro": (("gx", "gy", "gz"), "rad/s", "body"),
+    "imu_accel": (("ax", "ay", "az"), "m/s^2", "imu"),
+    "imu_gyro": (("gx", "gy", "gz"), "rad/s", "imu"),
 }
 MEDIA_PREFIXES = ("camera", "lidar")
 
