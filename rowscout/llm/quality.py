@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .frames import durable, pick, position
 
 SHAPES = 10
+MOST_BROADCAST = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -202,7 +203,7 @@ def judged(
     """docs under plain names (_c0, _c1, ...) with the site's columns, and columns p_quality, p_toxic and keep to select.
 
     Evidence is computed twice, for the sums and for the rows, rather than shuffling texts: the rows only meet the
-    table of sites, which the planner broadcasts while it is small and otherwise joins by key.
+    table of sites, which is broadcast if it has at most MOST_BROADCAST rows and otherwise joined by key.
     """
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
@@ -224,7 +225,9 @@ def judged(
         return pd.DataFrame(rows, columns=["z_quality", "z_toxic"])
 
     seen = plain.select(site[0].alias("host"), site[1].alias("path"), evidence(text).alias("z"))
-    sites = site_shifts(seen.select("host", "path", "z.*"))
+    sites = durable(site_shifts(seen.select("host", "path", "z.*")))
+    if sites.count() <= MOST_BROADCAST:  # rows of two names and a dozen numbers
+        sites = F.broadcast(sites)
     rows = plain.withColumn("_z", evidence(text)).withColumn("_host", site[0]).withColumn("_path", site[1])
     joined = rows.join(sites, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
     good = _logistic(F.col("_z.z_quality") + F.coalesce("shift_quality", F.lit(0.0)))
