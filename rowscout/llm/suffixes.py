@@ -14,6 +14,10 @@ anchor, in runs of neighbouring starts that share one:
    Suffixes in one final bucket are the same string; its least document keeps it.
 4. Covered ranges go back to the parts, which cut the bytes out.
 
+An anchor of many occurrences, such as a short line that very many documents have and that each goes on from
+differently, would fill one bucket. The parts are told that it is one, and send its strings of `length` bytes singly,
+dealt by all their bytes, so that only equal strings meet (of which each part sends one).
+
 Bytes are compared, never only hashes: a wrong hash match costs work and changes nothing. The documents are shuffled
 once, by part, and that exchange is read by all three passes over them.
 
@@ -36,6 +40,9 @@ from .frames import even_keys, partitions, position
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ID_BITS = 40
 CHUNK = 1 << 20
+REFINE_ROWS = 4096
+#: An anchor that occurs so often is dealt string by string, see below.
+OFTEN = 2000
 
 
 def gram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
@@ -169,17 +176,19 @@ def anchors_of_part(part: Part, pid: int, length: int, q: int, buckets: np.ndarr
     at = grouped(key)
     ends = np.r_[at[1:], len(key)][: len(at)]
     several = ids[at] != ids[ends - 1] if len(at) else np.empty(0, bool)
+    times = np.minimum(ends - at, 65535).astype("<u2")
     key = key[at]
     bucket = (key >> np.uint64(ID_BITS)).astype(np.int64)
     edge = grouped(bucket)
     rows = []
     for a, b in spans_of(edge, len(key)):
         part_keys, flags = key[a:b], several[a:b]
-        rows.append((int(bucket[a]), pid, pack_ids(part_keys[~flags]), pack_ids(part_keys[flags])))
+        rows.append((int(bucket[a]), pid, pack_ids(part_keys[~flags]), pack_ids(part_keys[flags]), times[a:b][flags].tobytes()))
     return table(rows, ANCHORS)
 
 
-ANCHORS = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("once", pa.binary()), ("several", pa.binary())])
+ANCHORS = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("once", pa.binary()), ("several", pa.binary()), ("times", pa.binary())])
+ANSWERS = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("often", pa.binary())])
 REPLIES = pa.schema([("pid", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
@@ -189,34 +198,37 @@ def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def repeated_anchors(got: pa.Table) -> pa.Table:
-    """For each part, which of its anchors in this bucket occur in two documents or more."""
-    pids, once, several = (got.column(k).to_pylist() for k in ("pid", "once", "several"))
+    """For each part, which of its anchors in this bucket occur in two documents or more, and which of them often."""
+    pids, once, several, times = (got.column(k).to_pylist() for k in ("pid", "once", "several", "times"))
     bucket = got.column("bucket")[0].as_py()
-    ids, owner, flag = [], [], []
-    for i, (a, b) in enumerate(zip(once, several, strict=True)):
-        for raw, f in ((a, False), (b, True)):
-            x = unpack_ids(raw)
+    ids, owner, count = [], [], []
+    for i, (a, b, n) in enumerate(zip(once, several, times, strict=True)):
+        for x, c in ((unpack_ids(a), None), (unpack_ids(b), np.frombuffer(n, "<u2"))):
             ids.append(x)
             owner.append(np.full(len(x), i, np.int32))
-            flag.append(np.full(len(x), f))
-    ids, owner, flag = (np.concatenate(x) for x in (ids, owner, flag))
+            count.append(np.ones(len(x), np.int64) if c is None else c.astype(np.int64))
+    ids, owner, count = (np.concatenate(x) for x in (ids, owner, count))
     order = np.argsort(ids, kind="stable")
-    ids, owner, flag = ids[order], owner[order], flag[order]
+    ids, owner, count = ids[order], owner[order], count[order]
     at = grouped(ids)
     sizes = np.diff(np.r_[at, len(ids)])
-    found = (sizes > 1) | np.logical_or.reduceat(flag, at) if len(at) else np.empty(0, bool)
-    keep = np.repeat(found, sizes)
-    ids, owner = ids[keep], owner[keep]
+    total = np.add.reduceat(count, at) if len(at) else np.empty(0, np.int64)  # 1 for an anchor of a single document
+    total = np.repeat(total, sizes)
+    keep = total > 1
+    ids, owner, often = ids[keep], owner[keep], total[keep] >= OFTEN
     order = np.argsort(owner, kind="stable")
-    ids, owner = ids[order], owner[order]
-    edge = grouped(owner)
-    return table([(pids[owner[a]], bucket, pack_ids(ids[a:b])) for a, b in spans_of(edge, len(ids))], REPLIES)
+    ids, owner, often = ids[order], owner[order], often[order]
+    out = []
+    for a, b in spans_of(grouped(owner), len(ids)):
+        x, f = ids[a:b], often[a:b]
+        out.append((pids[owner[a]], bucket, pack_ids(x[~f]), pack_ids(x[f])))
+    return table(out, ANSWERS)
 
 
 def contents(buf: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """The bytes of runs as rows of equal width, zero-filled, with their size in the last column."""
     out = np.zeros((len(first), width), np.uint8)
-    step = 1 << 16
+    step = 1 << 13
     columns = np.arange(width - 1)
     for a in range(0, len(first), step):
         at = first[a : a + step, None] + columns
@@ -231,15 +243,20 @@ def row_width(length: int, q: int) -> int:
     return -(-(2 * length - q + 1) // 8) * 8
 
 
-def row_classes(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal rows of one key side by side, and where each class of equal rows begins in it. Should
-    different rows share a hash, a class may come in several parts."""
+def row_hashes(rows: np.ndarray) -> np.ndarray:
     words = rows.view(np.uint64)
     mixed = np.zeros(len(rows), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(words.shape[1]):
             mixed = (mixed ^ words[:, k]) * MIX
             mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def row_classes(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal rows of one key side by side, and where each class of equal rows begins in it. Should
+    different rows share a hash, a class may come in several parts."""
+    words, mixed = rows.view(np.uint64), row_hashes(rows)
     order = np.lexsort((mixed, key))
     key, words = key[order], words[order]
     new = np.ones(len(order), bool)
@@ -252,18 +269,32 @@ def runs_of_part(part: Part, pid: int, replies: pa.Table, length: int, q: int, b
     """What a part sends on: runs for their buckets, and the ranges settled within the part for itself."""
     import zstandard
 
-    wanted = [
-        unpack_ids(p) | np.uint64(b) << np.uint64(ID_BITS)
-        for b, p in zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist(), strict=True)
-    ]
-    if not wanted:
-        return table([], REPLIES)
-    wanted = np.sort(np.concatenate(wanted))
     key, doc, first, count = part.runs(length, q)
     key = split_key(key, buckets)
-    hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-    key, doc, first, count = key[hit], doc[hit], first[hit], count[hit]
-    rows = contents(part.buf, first, count + length - 1, row_width(length, q))
+    picked = []
+    for column in ("payload", "often"):
+        wanted = [
+            unpack_ids(p) | np.uint64(b) << np.uint64(ID_BITS)
+            for b, p in zip(replies.column("bucket").to_pylist(), replies.column(column).to_pylist(), strict=True)
+        ]
+        wanted = np.sort(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
+        hit = np.zeros(len(key), bool)
+        if len(wanted):
+            hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        picked.append([x[hit] for x in (key, doc, first, count)])
+    width = row_width(length, q)
+    rows = contents(part.buf, picked[0][2], picked[0][3] + length - 1, width)
+    key, doc, first, count = picked[0]
+    if len(picked[1][0]):  # strings of anchors that occur often, each by itself and dealt by all its bytes
+        _, doc1, first1, many = picked[1]
+        first1 = np.repeat(first1, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        doc1, one = np.repeat(doc1, many), np.ones(len(first1), np.int64)
+        rows1 = contents(part.buf, first1, one + length - 1, width)
+        key1 = split_key(row_hashes(rows1) * MIX2, buckets)
+        key, doc, first, count = (np.concatenate(x) for x in ((key, key1), (doc, doc1), (first, first1), (count, one)))
+        rows = np.concatenate([rows, rows1])
+    if not len(key):
+        return table([], REPLIES)
     order, at = row_classes(rows, key)
     key, doc, first, count, rows = key[order], doc[order], first[order], count[order], rows[order]
     ids = part.ids[doc]
@@ -351,10 +382,28 @@ def compact(pointer: np.ndarray) -> np.ndarray:
     return np.unique(pointer, return_inverse=True)[1].astype(np.int64)
 
 
+def mixed_ranges(rows: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different runs with their least ids: ranges of starts (row, first, number) whose string has a smaller id in
+    another row."""
+    row, start, name = string_classes(rows, size, length)
+    mine = least[row]
+    order = np.argsort(name, kind="stable")
+    edge = grouped(name[order])
+    owner = np.empty(len(name), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(mine[order], edge), np.diff(np.r_[edge, len(name)]))
+    hit = owner < mine
+    new = np.r_[True, (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])]
+    cut = np.flatnonzero(new)
+    span = np.diff(np.r_[cut, len(row)])[hit[cut]]
+    cut = cut[hit[cut]]
+    return row[cut], start[cut], span
+
+
 def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
     """From the runs of one bucket: for each part, ranges of starts whose string also starts in a smaller document."""
     import zstandard
 
+    pa.default_memory_pool().release_unused()  # of the bucket before
     bucket = got.column("bucket")[0].as_py()
     if bucket < 0:
         return got.select(["pid", "bucket", "payload"])
@@ -386,25 +435,21 @@ def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
     kinds = np.diff(np.r_[first, len(at)])
     mixed = np.flatnonzero(np.repeat(kinds > 1, kinds))
     if len(mixed):
-        row, start, name = string_classes(rows[mixed], size[at][mixed], length)
-        mine = least[mixed][row]
-        order = np.argsort(name, kind="stable")
-        edge = grouped(name[order])
-        owner = np.empty(len(name), np.int64)
-        owner[order] = np.repeat(np.minimum.reduceat(mine[order], edge), np.diff(np.r_[edge, len(name)]))
-        hit = owner < mine
-        new = np.r_[True, (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])]
-        cut = np.flatnonzero(new)
-        span = np.diff(np.r_[cut, len(row)])[hit[cut]]
-        cut = cut[hit[cut]]
-        cls, offset = mixed[row[cut]], start[cut]
-        # each range holds for all members of its class that have the class's least id
-        times = members[cls]
-        where = np.repeat(at[cls], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        offset, span = np.repeat(offset, times), np.repeat(span, times)
-        take = ~whole[where]
-        where, offset, span = where[take], offset[take], span[take]
-        out.append((sender[where], doc[where], begin[where].astype(np.int64) + offset, span))
+        ends = np.flatnonzero(np.r_[key[at][mixed][1:] != key[at][mixed][:-1], True]) + 1
+        begin_at = 0
+        while begin_at < len(mixed):  # whole anchors, as many as make a chunk: equal strings have equal anchors
+            end_at = int(ends[min(np.searchsorted(ends, begin_at + REFINE_ROWS), len(ends) - 1)])
+            some = mixed[begin_at:end_at]
+            begin_at = end_at
+            where, offset, span = mixed_ranges(rows[some], size[at][some], least[some], length)
+            # each range holds for all members of its class that have the class's least id
+            cls = some[where]
+            times = members[cls]
+            where = np.repeat(at[cls], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            offset, span = np.repeat(offset, times), np.repeat(span, times)
+            take = ~whole[where]
+            where, offset, span = where[take], offset[take], span[take]
+            out.append((sender[where], doc[where], begin[where].astype(np.int64) + offset, span))
     sender, doc, begin, count = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(sender, kind="stable")
     sender, doc, begin, count = sender[order], doc[order], begin[order], count[order]
@@ -464,18 +509,20 @@ def _cut(docs: DataFrame, build, schema: str, id_col: str, text_col: str, length
         return anchors_of_part(Part(got, i, t), key[0].as_py(), length, q, parts)
 
     def send(key, got, replies):
+        pa.default_memory_pool().release_unused()  # of the part before
         if not got.num_rows:
             return table([], REPLIES)
         return runs_of_part(Part(got, i, t), key[0].as_py(), replies, length, q, parts)
 
     def finish(got, ranges):
+        pa.default_memory_pool().release_unused()
         part = Part(got, i, t)
         return build(part, got.select(list(range(width))).take(part.order), *cut_part(part, ranges, length))
 
     reply_schema = "pid int, bucket int, payload binary"
     groups = plain.groupBy("pid")
-    found = groups.applyInArrow(anchors, "bucket int, pid int, once binary, several binary")
-    replies = found.groupBy("bucket").applyInArrow(repeated_anchors, reply_schema)
+    found = groups.applyInArrow(anchors, "bucket int, pid int, once binary, several binary, times binary")
+    replies = found.groupBy("bucket").applyInArrow(repeated_anchors, reply_schema + ", often binary")
     sent = groups.cogroup(replies.groupBy("pid")).applyInArrow(send, reply_schema)
     ranges = sent.groupBy("bucket").applyInArrow(lambda got: covered_ranges(got, length, q), reply_schema)
     return groups.cogroup(ranges.groupBy("pid")).applyInArrow(finish, schema)
