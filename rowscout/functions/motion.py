@@ -92,7 +92,7 @@ def mercator(lat: Column, lon: Column, lat0: Column) -> tuple[Column, Column]:
     return east, north
 
 
-def linear_self_check(steps: int = 100) -> float:
+def linear_self_check(steps: int = 128) -> float:
     """Greatest error of linear interpolation on a straight line, which it should meet exactly."""
     return max(abs((0.0 + (10.0 - 0.0) * (k / steps)) - 10.0 * k / steps) for k in range(steps + 1))
 
