@@ -60,15 +60,17 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id long, fp long (the 64 bits as a signed number) of every row; a null text counts as empty."""
+    """id long, text_hash long, fp long (the 64 bits as a signed number) of every row; a null text counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, out = batch.column(1), []
+        texts, out = batch.column(2), []
         for lo, hi in by_size(texts, 4_000_000):
             out.extend(fingerprint(shingle_hashes(t, width)) for t in texts.slice(lo, hi - lo).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["id", "fp"])
+        fps = pa.array(np.array(out, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "text_hash", "fp"])
 
-    return map_batches(coalesced_text(docs, id_col, text_col), run, "id long, fp long")
+    base = coalesced_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(base, run, "id long, text_hash long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -248,7 +250,7 @@ def node_links(nodes: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame
 def near_duplicates(
     docs: DataFrame, width: int = 3, radius: int = 3, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, fp (long), component_id (the least doc_id reachable over links, its own included), for every row.
+    """doc_id, text_hash, fp (long), component_id (the least doc_id reachable over links, its own included), for every row.
 
     Cases: null and white-space-only texts have fingerprint zero, which links like any other. Rows of equal ids or
     texts stay rows of their own. A row without an id has a fingerprint and the component of those it links with, but
@@ -262,7 +264,7 @@ def near_duplicates(
     joined = durable(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     names = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "text_hash", "fp", "component_id")
 
 
 def hex16(fp: str) -> F.Column:
@@ -272,11 +274,13 @@ def hex16(fp: str) -> F.Column:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that no earlier copy stands for: one of each component, and every row without an id.
 
-    Of a component the row of the least id stays; of rows that share that id, all stay (the id says they are one).
+    Of a component the row of the least id stays; of rows that share that id and are linked, all stay (the id says they
+    are one). A row is told from others of its id by a hash of its text.
     """
-    names, id_col = docs.columns, options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    names, id_col, text_col = docs.columns, options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_duplicates(docs, **options).where(F.col("doc_id") > F.col("component_id"))
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    at = f"_c{position(names, id_col)}"
-    return plain.join(gone, F.col(at).cast("long") == F.col("_gone"), "left_anti").toDF(*names)
+    key, text = (F.col(f"_c{position(names, c)}") for c in (id_col, text_col))
+    on = (key.cast("long") == F.col("_gone")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_text"))
+    return plain.join(gone, on, "left_anti").toDF(*names)
