@@ -22,6 +22,7 @@ from .report import BatchSeekPlan, CorrectnessReport, RowGroupSpan, SeekPlan, Te
 
 DEFAULT_CHANNELS = ("pos_xyz", "rot_wxyz", "vel_xyz")
 DEFAULT_EGRESS = 1_000_000_000
+FEW_CANDIDATES = 2048
 
 
 def split_channels(channels: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -96,7 +97,19 @@ def candidates(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end
 
 
 def matched(rows: DataFrame, limit: int | None) -> tuple[list[dict], dict[str, int]]:
-    """Matched row groups in order and the counters of all stages, which a limit does not touch."""
+    """Matched row groups in order and the counters of all stages, which a limit does not touch.
+
+    Few candidates come to the driver as they are, marks and all, in one narrow job. More than FEW_CANDIDATES stay where
+    they are: they are counted and filtered there, and only what matched is collected.
+    """
+    marks = [f"m_{s}" for s in select.STAGES]
+    few = rows.select(*_ROW, *marks).limit(FEW_CANDIDATES + 1).collect()
+    if len(few) <= FEW_CANDIDATES:
+        n = {"candidates": len(few)} | {f"after_{s}": sum(r[f"m_{s}"] for r in few) for s in select.STAGES}
+        n["time_pruned"], n["coarse_pruned"] = n["candidates"] - n["after_time"], n["after_time"] - n["after_coarse"]
+        n["spatial_pruned"], n["velocity_pruned"] = n["after_time"] - n["after_exact"], n["after_exact"] - n["after_velocity"]
+        hit = sorted((r.asDict() for r in few if r["m_velocity"]), key=lambda r: (r["start_ts_ns"], r["row_group_id"]))
+        return (hit if limit is None else hit[:limit]), n
     counted = select.with_stage_counts(rows).where("m_velocity").select(*_ROW, *_COUNTS)
     got = [r.asDict() for r in select.top_row_groups(counted, limit).collect()]
     counts = {c: got[0][c] for c in _COUNTS} if got else select.stage_counts(rows).collect()[0].asDict()
