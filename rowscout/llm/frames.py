@@ -127,3 +127,26 @@ def even_keys(n: int) -> list[int]:
         out[fresh[free]] = keys[first[free]]
         at += 16 * n
     return out.tolist()
+
+
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dict of what a worker process keeps between tasks (encoders and the like)."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def free_memory() -> None:
+    """Gives back what earlier tasks, of this stage or others, left in this worker process: its caches, and memory that
+    Arrow and the C library hold for later."""
+    import ctypes
+
+    for cache in _CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

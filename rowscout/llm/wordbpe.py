@@ -15,6 +15,8 @@ import re
 import struct
 import unicodedata
 
+from .frames import worker_cache
+
 #: The steps of a tokenizer file under which the ids of a text are those of its white-space parts.
 SAME_BY_PART = {
     "normalizer": {
@@ -32,8 +34,8 @@ SAME_BY_PART = {
         "invert": True,
     },
 }
-#: Latin-1 bytes that some libraries take for white space and others do not.
-_UNSURE = re.compile(rb"[\x1c-\x1f\x85\xa0]")
+#: Latin-1 characters that some libraries take for white space and others do not.
+_UNSURE = "\x1c\x1d\x1e\x1f\x85\xa0"
 _LETTERS, _NUMBERS = ("".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == k) for k in "LN")
 #: The pattern of SAME_BY_PART with its character classes written out for Latin-1.
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
@@ -54,7 +56,7 @@ class WordEncoder:
     entry that is gone is only encoded again.
     """
 
-    def __init__(self, path: str, max_parts: int = 200_000, max_part_chars: int = 64):
+    def __init__(self, path: str, max_parts: int = 300_000, max_part_chars: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,18 +74,22 @@ class WordEncoder:
             and all(x["content"].startswith("<|") for x in spec.get("added_tokens") or [])
         )
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.max_parts, self.max_part_chars = max_parts, max_part_chars
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         """Whether the ids of the text are those of its white-space parts."""
-        if not self.by_part or "<|" in text:
+        if not self.by_part or "<|" in text or any(map(text.__contains__, _UNSURE)):
             return False
+        if text.isascii():
+            return True
         try:
-            return not _UNSURE.search(text.encode("latin-1"))
+            text.encode("latin-1")
         except UnicodeEncodeError:
             return False
+        return True
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -94,13 +100,9 @@ class WordEncoder:
 
     def one(self, pre_token: str) -> bytes:
         """The ids of one lower-cased pre-token of a plain text."""
-        letters = pre_token.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _keep(self, part: str, ids: bytes) -> None:
-        if len(part) <= self.max_part_chars:
-            self.young[part] = ids
+        if not (pre_token.isascii() and pre_token.isalpha()):  # those stand for themselves
+            pre_token = pre_token.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(pre_token)])
 
     def part(self, part: str) -> bytes:
         """The ids of a lower-cased part without white space, from the cache or else by its pre-tokens."""
@@ -108,9 +110,10 @@ class WordEncoder:
         if got is None:
             got = self.old.get(part)
             if got is None:
-                pieces = _LATIN.findall(part)
+                pieces = [part] if part.isalpha() else _LATIN.findall(part)
                 got = self.one(part) if pieces == [part] else b"".join(map(self.part, pieces))
-            self._keep(part, got)
+            if len(part) <= self.max_part_chars:
+                self.young[part] = got
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -125,13 +128,15 @@ class WordEncoder:
             if len(self.young) > self.max_parts:
                 self.old, self.young = self.young, {}
             found = list(map(self.young.get, parts))
-            if None in found:
-                found = [self.part(p) if b is None else b for p, b in zip(parts, found, strict=True)]
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self.part(parts[at])
             out.append(b"".join(found))
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = worker_cache()
 
 
 def encoder(path: str) -> WordEncoder:
