@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import by_size, coalesced_text, map_batches, partitions
+from .frames import by_size, coalesced_text, even_keys, map_batches, partitions, worker_cache
 
 MAGIC = b"ROWHUF1\0"
 MOST_BITS = 20
@@ -149,7 +149,7 @@ def parse_file(data: bytes, look: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys, sizes, decode_bits(payload, offsets, count, look)
 
 
-_LOOKS: dict[bytes, np.ndarray] = {}
+_LOOKS: dict[bytes, np.ndarray] = worker_cache()
 
 
 def look_up(lengths: bytes) -> np.ndarray:
@@ -175,7 +175,9 @@ def write_ids(
     spark = docs.sparkSession
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if top <= 1 << 16 else "<u4"
-    files = files or 2 * partitions(spark)
+    files = files or partitions(spark)
+    slots = np.array(even_keys(files))  # the key of each file: one for each shuffle partition
+    file_of = {slot: k for k, slot in enumerate(slots.tolist())}
     base = coalesced_text(docs, id_col, text_col)
     cuts = base.where("id is not null").selectExpr("cast(id as double) id").approxQuantile("id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
     cuts = np.array(cuts, float)
@@ -195,7 +197,7 @@ def write_ids(
                 sizes.append(len(tokens))
         spread = np.array(sizes) * 2654435761 % (high - low + 1)
         part = np.where(np.isnan(value), len(cuts), low + spread)
-        cols = [pa.array(part, pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
+        cols = [pa.array(slots[part], pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["part", "id", "n", "ids"])
 
     tokens = map_batches(base, run, "part int, id long, n long, ids binary").groupBy("part")
@@ -213,7 +215,7 @@ def write_ids(
         counts = np.zeros(top, np.int64)
         counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
         raw = code_lengths(counts).tobytes()
-        return pa.table({"part": pa.array(range(files), pa.int32()), "lengths": pa.array([raw] * files, pa.binary())})
+        return pa.table({"part": pa.array(slots, pa.int32()), "lengths": pa.array([raw] * files, pa.binary())})
 
     def image(key, got, book):
         if not got.num_rows:
@@ -224,7 +226,7 @@ def write_ids(
         ids = [np.frombuffer(squeeze.decompress(x.as_py()), kind) for x in got.column("ids")]
         data = file_image(got.column("id").to_pylist(), ids, canonical(size)[0], size)
         n = int(sum(map(len, ids)))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_docs": [got.num_rows], "n_tokens": [n], "lengths": pa.array([lengths], pa.binary()), "image": pa.array([data], pa.binary())})
+        return pa.table({"part": pa.array([file_of[key[0].as_py()]], pa.int32()), "n_docs": [got.num_rows], "n_tokens": [n], "lengths": pa.array([lengths], pa.binary()), "image": pa.array([data], pa.binary())})
 
     counts = tokens.applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     books = counts.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(codebook, "part int, lengths binary")  # one row for each id of the vocabulary
