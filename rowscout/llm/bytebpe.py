@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .frames import by_size, coalesced_text, map_batches, pick
+from .frames import by_size, coalesced_text, map_batches, pick, worker_cache
 
 LONG = 256
 NONE = np.int32(2**31 - 1)
@@ -81,7 +81,7 @@ class PairTable:
 class ByteBPE:
     """Encoder and decoder of one rank file. The cache of pre-tokens has two generations of max_words at most."""
 
-    def __init__(self, path: str, pattern: str, max_words: int = 200_000):
+    def __init__(self, path: str, pattern: str, max_words: int = 120_000):
         import regex
 
         with open(path, "rb") as f:
@@ -210,7 +210,7 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODERS: dict[tuple[str, str], ByteBPE] = {}
+_CODERS: dict[tuple[str, str], ByteBPE] = worker_cache()
 
 
 def coder(path: str, pattern: str) -> ByteBPE:

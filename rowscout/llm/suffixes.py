@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import even_keys, partitions, position
+from .frames import even_keys, free_memory, partitions, position
 
 #: Multipliers of the rolling hash and of its finish: odd 64-bit numbers without structure.
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -403,7 +403,7 @@ def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
     """From the runs of one bucket: for each part, ranges of starts whose string also starts in a smaller document."""
     import zstandard
 
-    pa.default_memory_pool().release_unused()  # of the bucket before
+    free_memory()
     bucket = got.column("bucket")[0].as_py()
     if bucket < 0:
         return got.select(["pid", "bucket", "payload"])
@@ -506,16 +506,17 @@ def _cut(docs: DataFrame, build, schema: str, id_col: str, text_col: str, length
     width = len(names)
 
     def anchors(key, got):
+        free_memory()
         return anchors_of_part(Part(got, i, t), key[0].as_py(), length, q, parts)
 
     def send(key, got, replies):
-        pa.default_memory_pool().release_unused()  # of the part before
+        free_memory()
         if not got.num_rows:
             return table([], REPLIES)
         return runs_of_part(Part(got, i, t), key[0].as_py(), replies, length, q, parts)
 
     def finish(got, ranges):
-        pa.default_memory_pool().release_unused()
+        free_memory()
         part = Part(got, i, t)
         return build(part, got.select(list(range(width))).take(part.order), *cut_part(part, ranges, length))
 

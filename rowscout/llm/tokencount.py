@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import by_size, coalesced_text, map_batches
+from .frames import by_size, coalesced_text, map_batches, worker_cache
 
 
 def frequent_lengths(texts: list[str], tokenizer: str, most: int = 16384, longest: int = 32) -> tuple[bytes, bytes]:
@@ -74,7 +74,7 @@ class Counts:
         return sum(found)
 
 
-_COUNTS: dict[tuple, Counts] = {}
+_COUNTS: dict[tuple, Counts] = worker_cache()
 
 
 def worker_counts(tokenizer: str, table: tuple[bytes, bytes]) -> Counts:
