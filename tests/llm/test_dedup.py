@@ -79,10 +79,10 @@ def test_bit_sliced_comparison_equals_popcount():
     group = np.sort(rng.integers(0, 30, len(fps)))
     for radius in (0, 1, 3, 6):
         want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= radius}
-        i, j = simhash.small_links(fps, group, radius)
+        i, j = simhash.small_links(fps[:, None], group, radius)
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
         got, all_ = Sets(), Sets()
-        for a, b in zip(*simhash.forest(fps, radius), strict=True):
+        for a, b in zip(*simhash.forest(fps[:, None], radius), strict=True):
             assert int(fps[a] ^ fps[b]).bit_count() <= radius
             got.join(a, b)
         for a in range(len(fps)):
@@ -136,6 +136,45 @@ def test_simhash_operator(spark, tile):
     assert simhash.near_duplicates(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_long_bit_sliced_comparison():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    fps = np.concatenate([base ^ (rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64) & rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64) & rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)) for _ in range(25)])
+    group = np.sort(rng.integers(0, 5, len(fps)))
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for radius in (60, 86, 120):
+        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if group[i] == group[j] and far[i, j] <= radius}
+        i, j = simhash.small_links(fps, group, radius)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+        assert all(far[a, b] <= radius for a, b in zip(*simhash.forest(fps, radius), strict=True))
+
+
+def test_similarity_links_what_is_alike(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts, family = [], []
+    for k in range(60):
+        base = rng.choices(words, k=rng.choice([120, 300, 700]))
+        texts.append(" ".join(base))
+        family.append(k)
+        for share in (0.0, 0.004, 0.012, 0.02, 0.15):
+            t = [rng.choice(words) if rng.random() < share else w for w in base]
+            texts.append(" ".join(t))
+            family.append(k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    assert all(family[d] == family[c] for d, c in got.items())  # nothing unlike is linked
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if family[a] == family[b] and jaccard(texts[a], texts[b]) >= 0.82]
+    assert len(near) > 300 and sum(got[a] == got[b] for a, b in near) / len(near) > 0.98
+    apart = [6 * k + 5 for k in range(60) if max(jaccard(texts[6 * k + 5], texts[6 * k + j]) for j in range(5)) < 0.6]
+    assert len(apart) > 30 and all(got[a] == a for a in apart)
+
+
 # Vectors
 
 
@@ -327,14 +366,15 @@ def test_pipeline_stages(spark):
     good, near, cut = (seen[n] for n, _ in cp.STAGES[:-1])
     judged = {r.doc_id: r.keep for r in quality.classify(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")).collect()}
     assert set(good) == {d for d, keep in judged.items() if keep} and 0 < len(good) < len(judged)
-    groups = Sets()
-    fps = {d: slow_fingerprint(t) for d, t in good.items()}
-    for a in fps:
+    groups, words = Sets(), {d: np.frombuffer(simhash.long_fingerprint(simhash.shingle_hashes(t, 5), 8), np.uint64) for d, t in good.items()}
+    for a in good:
         groups.find(a)
-        for b in fps:
-            if a < b and int(fps[a] ^ fps[b]).bit_count() <= 3:
+        for b in good:
+            if a < b and np.bitwise_count(words[a] ^ words[b]).sum() <= simhash.radius_of(0.8, 512):
                 groups.join(a, b)
-    assert set(near) == {d for d in fps if groups.find(d) == d}
+    assert {d for d in good if groups.find(d) == d} <= set(near) < set(good)  # bands may miss a link, never make one
+    alike = [(a, b) for a in near for b in near if a < b and jaccard(good[a], good[b]) >= 0.9]
+    assert not alike
     want = {d: k.decode("utf-8", "ignore") for d, k, *_ in slow_cut([(d, t.encode()) for d, t in near.items()], 50)}
     assert cut == want
     rows = cp.run(spark, root).collect()
