@@ -15,8 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
