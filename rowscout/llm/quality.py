@@ -22,11 +22,12 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from .frames import durable, pick, position
+from .frames import by_size, durable, free_memory, map_batches, pick, position
 
 SHAPES = 10
 MOST_BROADCAST = 50_000
@@ -122,19 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, id_col: str
     got = texts.join(F.broadcast(told), F.col(id_col) == F.col("_label_id"))  # most_labels rows of three numbers
     got = got.select(F.coalesce(text_col, F.lit("")).alias("text"), "quality", "toxic")
 
-    def features(batches):
-        for pdf in batches:
-            forms = [shape(t) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "form": forms,
-                    "words": [sorted(words_of(t)) for t in pdf["text"]],
-                    "quality": pdf["quality"],
-                    "toxic": pdf["toxic"],
-                }
-            )
-
-    rows = got.mapInPandas(features, "form array<double>, words array<string>, quality double, toxic double").toArrow()
+    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        forms = pa.array([shape(t) for t in texts], pa.list_(pa.float64()))
+        words = pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([forms, words, batch.column(1), batch.column(2)], ["form", "words", "quality", "toxic"])
+
+    rows = map_batches(got, features, "form array<double>, words array<string>, quality double, toxic double").toArrow()
     forms = np.array(rows.column("form").to_pylist(), float).reshape(-1, SHAPES)
     words = [set(w) for w in rows.column("words").to_pylist()]
     out = {}
@@ -215,15 +210,19 @@ def judged(
     ]
     models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most_labels, id_col, text_col))
 
-    @F.pandas_udf("z_quality double, z_toxic double")
-    def evidence(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
+        free_memory()  # what other stages have left in this worker
+        kinds = pa.struct([("z_quality", pa.float64()), ("z_toxic", pa.float64())])
         quality, toxic = models.value["quality"], models.value["toxic"]
-        rows = []
-        for t in texts:
-            form, words = shape(t), words_of(t)
-            rows.append((quality.evidence(form, words), toxic.evidence(form, words)))
-        return pd.DataFrame(rows, columns=["z_quality", "z_toxic"])
-
+        for texts in batches:
+            rows = []
+            for lo, hi in by_size(texts, 2_000_000):
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    form, words = shape(t), words_of(t)
+                    rows.append({"z_quality": quality.evidence(form, words), "z_toxic": toxic.evidence(form, words)})
+            yield pa.array(rows, kinds)
+
+    evidence = F.arrow_udf(run, "z_quality double, z_toxic double", ArrowUDFType.SCALAR_ITER)
     seen = plain.select(site[0].alias("host"), site[1].alias("path"), evidence(text).alias("z"))
     sites = durable(site_shifts(seen.select("host", "path", "z.*")))
     if sites.count() <= MOST_BROADCAST:  # rows of two names and a dozen numbers
