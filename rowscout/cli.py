@@ -200,12 +200,48 @@ def dataset_command(a) -> None:
     elif a.command == "query":
         got = query_managed_dataset(a.input, **_filter_args(a), channels=tuple(a.channels.split(",")), target_hz=a.target_hz, manifest_out=a.out, spark=spark)
         _show({"shape": list(got.certificate.shape), "row_groups": got.row_groups, "selected_bytes": got.selected_bytes})
+    elif a.command == "demo":
+        from .onboarding import demo
+
+        _show(demo.run(a.out, spark))
     elif a.command == "stage":
         _show(store.stage_prefix(spark, a.input, a.out))
     else:
         _show(store.upload_folder(spark, a.input, a.out))
 
 
+def validate_command(a) -> None:
+    """Reads the chosen row groups of a file in a store, under enforcement, and says what was read."""
+    import json as js
+
+    from .operators import catalog
+    from .operators.audit import Span
+    from .schemas import POSE_SCHEMA
+    from .sources.rowgroups import scan
+
+    spark = _spark()
+    footers = catalog.footer_rows(a.input, ())
+    spans = [Span(r["row_group_id"], r["byte_offset"], r["byte_length"]) for r in footers if not a.row_groups or r["row_group_id"] in a.row_groups]
+    rows = scan(spark, POSE_SCHEMA, [(a.input, spans)], True, a.footer_allowance_bytes).cache()
+    report = js.loads(rows.where("audit is not null").first()["audit"])["report"]
+    _show({"rows": rows.where("audit is null").count(), **report})
+
+
+def gate_command(a) -> None:
+    from .plans.proof import choose_query, gate
+
+    spark = _spark()
+    source = {"catalog_db": a.catalog_db} if a.catalog_db else {"catalog": a.catalog}
+    options = source | _filter_args(a) | {"seam_check": False, "gap_policy": "allow"}
+    if a.choose:
+        pose = spark.read.parquet(f"{a.catalog_db}/pose_row_groups" if a.catalog_db else a.catalog)
+        options |= choose_query(pose)
+    got = gate(options, iterations=a.iterations, max_p95_ms=a.max_p95_ms, min_prune_ratio=a.min_prune_ratio, max_authorized_bytes=a.max_authorized_bytes, spark=spark)
+    _show(asdict(got))
+    if not got.ok:
+        raise SystemExit(1)
+
+
 def demo_command(a) -> None:
     """Synthetic session to tensor: 50 Hz, 25 rows a row group, the box and speed of the first one."""
     import tempfile
@@ -309,11 +345,11 @@ def parser() -> argparse.ArgumentParser:
     _filters(q)
 
     d = group("dataset", dataset_command)
-    for c in ("adapters", "inspect", "init-manifest", "init-mapping", "validate", "ingest", "query", "stage", "upload"):
+    for c in ("adapters", "inspect", "init-manifest", "init-mapping", "validate", "ingest", "query", "stage", "upload", "demo"):
         p = d.add_parser(c)
-        if c != "adapters":
+        if c not in ("adapters", "demo"):
             p.add_argument("input")
-        p.add_argument("--out", required=c in ("init-manifest", "init-mapping", "ingest", "stage", "upload"))
+        p.add_argument("--out", required=c in ("init-manifest", "init-mapping", "ingest", "stage", "upload", "demo"))
         p.add_argument("--adapter", default="auto")
         if c == "query":
             p.add_argument("--channels", default="pos_xyz,rot_wxyz,vel_xyz")
@@ -323,6 +359,23 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dataset-id", default="dataset")
             _identity(p, rows=500)
 
+    v = group("validate", validate_command)
+    p = v.add_parser("parquet")
+    p.add_argument("input")
+    p.add_argument("--row-groups", type=_ids, default=[])
+    p.add_argument("--footer-allowance-bytes", type=int, default=16 << 20)
+
+    g = groups.add_parser("gate")
+    g.set_defaults(run=gate_command)
+    g.add_argument("--catalog")
+    g.add_argument("--catalog-db")
+    g.add_argument("--choose", action="store_true")
+    g.add_argument("--iterations", type=int, default=20)
+    g.add_argument("--max-p95-ms", type=float, default=float("inf"))
+    g.add_argument("--min-prune-ratio", type=float, default=0.0)
+    g.add_argument("--max-authorized-bytes", type=float, default=float("inf"))
+    _filters(g)
+
     demo = groups.add_parser("demo")
     demo.set_defaults(run=demo_command)
     demo.add_argument("--out")

@@ -176,6 +176,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["dataset", "adapters"]) == 0
     assert main(["demo", "--out", str(tmp_path / "demo")]) == 0
     assert "shape=[15, 10]" in capsys.readouterr().out
+    data = next(str(f) for f in (tmp_path / "p").iterdir() if f.suffix == ".parquet")
+    assert main(["index", "parquet", data]) == 0 and main(["range-read", "parquet", data, "--limit", "1"]) == 0
+    assert main(["validate", "parquet", data, "--row-groups", "1"]) == 0
+    assert '"violations": 0' in capsys.readouterr().out
+    assert main(["tensor", "row-groups", data, "--row-groups", "0", "--end-ts-ns", "480000000", "--out", str(tmp_path / "t")]) == 0
+    assert np.load(tmp_path / "t.values.npy").shape == (15, 10)
+    assert main(["gate", "--catalog-db", str(tmp_path / "db"), "--choose", "--iterations", "2", "--min-prune-ratio", "0.5"]) == 0
+    assert main(["gate", "--catalog-db", str(tmp_path / "db"), "--iterations", "1", "--max-authorized-bytes", "1"]) == 1
+    assert main(["dataset", "demo", "--out", str(tmp_path / "messy")]) == 0
+    assert "24," in capsys.readouterr().out
     with pytest.raises(SystemExit) as e:
         main(["catalog", "build"])
     assert e.value.code == 2
