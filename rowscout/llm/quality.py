@@ -6,8 +6,9 @@ the path on it (source and language). A host's rate is a Beta posterior around t
 host's; the strength of either prior is estimated from the spread between hosts and between paths, so sparse sites are
 shrunk to what is above them. A document's posterior adds the site's shift of log odds to its own evidence.
 
-Two rates are estimated this way, good and toxic. A document stays if it is more likely good than not and more likely
-harmless than not.
+Two rates are estimated this way, good and toxic. A document stays if it is good with probability good_at or more and
+toxic with less than toxic_at; the latter is low, since toxic documents are few and keeping one costs more than losing
+one that is not.
 
 Cases: a null text counts as empty. A null or missing source or language is a site like any other. Documents without an
 id are judged too. Repeated labels are used as they are; labels without a document, or null, are not used. Without
@@ -194,6 +195,8 @@ def judged(
     text_col: str = "text",
     host_col: str = "source",
     path_col: str = "lang",
+    good_at: float = 0.5,
+    toxic_at: float = 0.1,
 ) -> tuple[DataFrame, dict[str, Column]]:
     """docs under plain names (_c0, _c1, ...) with the site's columns, and columns p_quality, p_toxic and keep to select.
 
@@ -231,7 +234,7 @@ def judged(
     joined = rows.join(sites, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
     good = _logistic(F.col("_z.z_quality") + F.coalesce("shift_quality", F.lit(0.0)))
     toxic = _logistic(F.col("_z.z_toxic") + F.coalesce("shift_toxic", F.lit(0.0)))
-    return joined, {"p_quality": good, "p_toxic": toxic, "keep": (good >= 0.5) & (toxic < 0.5)}
+    return joined, {"p_quality": good, "p_toxic": toxic, "keep": (good >= good_at) & (toxic < toxic_at)}
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
