@@ -65,7 +65,7 @@ def pack(
         "length",
         "doc_tokens",
         "ids",
-        F.log2("length").cast("int").alias("bucket"),
+        F.round(F.log2("length")).cast("int").alias("bucket"),
         F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
