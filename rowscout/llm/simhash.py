@@ -1,12 +1,13 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A fingerprint has a bit for each bit position that is 1 in over half the hashes of the text's word shingles. Equal
-fingerprints are one node. Two nodes within the radius agree on one of radius + 1 bands of bits at least, so nodes are
-dealt to buckets by band and value, and compared within buckets only; no pair within the radius is lost. A bucket of
+fingerprints are one node. Two nodes within a small radius agree on one of radius + 1 bands of bits at least, so nodes
+are dealt to buckets by band and value, and compared within buckets only; no pair within the radius is lost. Where a
+similarity is asked for, fingerprints are longer, the radius is wider, and the bands are many (see near_duplicates). A bucket of
 more than `tile` nodes is cut into tiles, and each pair of tiles is a bucket of its own, so no task holds more than two
 tiles of a bucket whatever the data.
 
-Within a task the fingerprints are stored vertically: 64 planes, each holding one bit of 64 fingerprints a word. The
+Within a task the fingerprints are stored vertically: a plane for each bit, holding it for 64 fingerprints a word. The
 distances of a whole plane row are counted at once with carry-save adders over the planes; words all of whose lanes
 have gone beyond the radius are abandoned on the way. Buckets give only the edges of a spanning forest of their links,
 never all pairs of a group, and the forests are joined into components (see components.py).
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .frames import by_size, coalesced_text, durable, map_batches, partitions, position
 
+MOST_BROADCAST = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -298,8 +300,13 @@ def banded(nodes: DataFrame, band_bits: int) -> DataFrame:
 def node_links(dealt: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
     """Edges (a, b) of forests that join the nodes (fp, node, bucket) which share a bucket and whose fingerprints link."""
     large = dealt.groupBy("bucket").count().where(F.col("count") > tile)
-    large = large.select(F.col("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    held = dealt.join(large, F.col("bucket") == F.col("large"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    large = durable(large.select(F.col("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+    many = large.count()
+    if not many:  # as a rule; then nothing is joined
+        held = dealt.withColumn("tiles", F.lit(1))
+    else:
+        large = F.broadcast(large) if many <= MOST_BROADCAST else large  # rows of two numbers
+        held = dealt.join(large, F.col("bucket") == F.col("large"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     held = held.select(
