@@ -129,7 +129,7 @@ def write_mcap(path: str, sent: Iterable[tuple[str, str, str, int, bytes]], chun
 
 def write_json_poses(path: str, poses: Iterable[dict], topic: str = "/pose") -> int:
     """Pose rows as flat JSON messages."""
-    rows = ((topic, "json", "robotics.pose.JsonPoseMessage", int(p["timestamp_ns"]), json.dumps(p).encode()) for p in poses)
+    rows = ((topic, "json", "rowscout.pose.JsonPose", int(p["timestamp_ns"]), json.dumps(p).encode()) for p in poses)
     return write_mcap(path, rows)
 
 

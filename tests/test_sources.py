@@ -110,7 +110,7 @@ def test_mcap(spark, tmp_path, chunked):
         "twist": {"twist": {"linear": {"x": 3, "y": 4, "z": 0}}},
     }
     sent = [
-        ("/pose", "json", "robotics.pose.JsonPoseMessage", 123, json.dumps(flat).encode()),
+        ("/pose", "json", "rowscout.pose.JsonPose", 123, json.dumps(flat).encode()),
         ("/pose", "ros1", "geometry_msgs/PoseStamped", 1, ros1(2, 3, pose)),
         ("/pose", "cdr", "geometry_msgs/msg/PoseStamped", 1, cdr(4, 6, pose)),
         ("/pose", "protobuf", "x", 1, b"?"),
