@@ -39,7 +39,7 @@ from .frames import even_keys, free_memory, partitions, position
 #: Multipliers of the rolling hash and of its finish: odd 64-bit numbers without structure.
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ID_BITS = 40
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 REFINE_ROWS = 4096
 #: An anchor that occurs so often is dealt string by string, see below.
 OFTEN = 2000
@@ -81,9 +81,7 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndar
     number of starts. The anchor of a start is the leftmost of the least-hashed q-grams of its string, so it depends on
     the string alone."""
     keys, firsts, counts = [], [], []
-    begin = 0
-    while begin < len(off) - 1:
-        end = max(begin + 1, int(np.searchsorted(off, off[begin] + CHUNK, "right")) - 1)
+    for begin, end in chunks_of(off):
         lo, hi = int(off[begin]), int(off[end])
         for a in range(lo, hi, CHUNK) if end == begin + 1 else (lo,):  # a long document goes in overlapping chunks
             b = hi if end > begin + 1 else min(hi, a + CHUNK + length - 1)
@@ -93,7 +91,6 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndar
                 keys.append(got[0])
                 firsts.append(got[1] + a)
                 counts.append(got[2])
-        begin = end
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(keys), np.concatenate(firsts), np.concatenate(counts)
@@ -460,35 +457,59 @@ def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
     )
 
 
+def chunks_of(off: np.ndarray):
+    """Ranges of documents of about CHUNK bytes each, one document at least."""
+    begin = 0
+    while begin < len(off) - 1:
+        end = max(begin + 1, int(np.searchsorted(off, off[begin] + CHUNK, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def cut_part(part: Part, ranges: pa.Table, length: int) -> tuple[list[bytes], list[int], pa.Array]:
-    """Kept bytes, number removed and removed spans of each document, in the part's order."""
-    size = len(part.buf)
-    edge = np.zeros(size + 1, np.int32)
-    for raw in ranges.column("payload").to_pylist():
-        doc, begin, count = np.frombuffer(raw, "<u4").reshape(3, -1).astype(np.int64)
-        at = part.off[doc] + begin
+    """Kept bytes, number removed and removed spans of each document, in the part's order, chunk by chunk."""
+    got = [np.frombuffer(raw, "<u4").reshape(3, -1) for raw in ranges.column("payload").to_pylist()]
+    doc, begin, count = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.uint32) for k in range(3))
+    order = np.argsort(doc, kind="stable")
+    doc, begin, count = doc[order], begin[order].astype(np.int64), count[order].astype(np.int64)
+    kept: list[bytes] = []
+    removed: list[int] = []
+    starts, sizes, per_doc = [], [], []
+    for lo, hi in chunks_of(part.off):
+        off = part.off[lo : hi + 1] - part.off[lo]
+        buf = part.buf[part.off[lo] : part.off[hi]]
+        a, b = np.searchsorted(doc, [lo, hi])
+        if a == b:
+            kept += [buf[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            removed += [0] * (hi - lo)
+            per_doc.append(np.zeros(hi - lo, np.int64))
+            continue
+        edge = np.zeros(len(buf) + 1, np.int32)
+        at = off[doc[a:b] - lo] + begin[a:b]
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + count + length - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    before = np.r_[0, np.cumsum(gone)]
-    removed = before[part.off[1:]] - before[part.off[:-1]]
-    prev = np.r_[False, gone[:-1]]
-    inner = part.off[:-1][part.off[:-1] < size]
-    prev[inner] = False  # a span ends with its document
-    begins = np.flatnonzero(gone & ~prev)
-    nxt = np.r_[gone[1:], False]
-    last = part.off[1:][(part.off[1:] > 0) & (part.off[1:] > part.off[:-1])] - 1
-    nxt[last] = False
-    ends = np.flatnonzero(gone & ~nxt) + 1
-    home = np.searchsorted(part.off, begins, "right") - 1
-    counts = np.bincount(home, minlength=len(part.ids))[: len(part.ids)]
-    spans = pa.ListArray.from_arrays(
-        pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)),
-        pa.StructArray.from_arrays([pa.array(begins - part.off[home]), pa.array(ends - begins)], ["start", "length"]),
-    )
-    kept = part.buf[~gone].tobytes()
-    at = part.off - before[part.off]
-    return [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], removed.tolist(), spans
+        np.add.at(edge, at + count[a:b] + length - 1, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        before = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(gone, out=before[1:])
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        last = gone.copy()
+        last[:-1] &= ~gone[1:]
+        inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(buf))]
+        first[inner] = gone[inner]  # a span ends with its document
+        last[inner - 1] = gone[inner - 1]
+        begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        home = np.searchsorted(off, begins, "right") - 1
+        starts.append(begins - off[home])
+        sizes.append(ends - begins)
+        per_doc.append(np.bincount(home, minlength=hi - lo))
+        removed += (before[off[1:]] - before[off[:-1]]).tolist()
+        left, at = buf[~gone].tobytes(), off - before[off]
+        kept += [left[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(join(starts)), pa.array(join(sizes))], ["start", "length"])
+    spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(join(per_doc))].astype(np.int32)), pairs)
+    return kept, removed, spans
 
 
 def _cut(docs: DataFrame, build, schema: str, id_col: str, text_col: str, length: int, q: int) -> DataFrame:
