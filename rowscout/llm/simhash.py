@@ -226,8 +226,30 @@ def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def thinned(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links, those that join two trees: a spanning forest."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    order = np.lexsort((right, left))
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            a.append(i)
+            b.append(j)
+    return a, b
+
+
 def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between nodes of the same group. rows: group, fp, node, with groups side by side.
+    """Edges (a, b) between nodes of the same group. rows: group, fp, node, with groups side by side and nodes ascending,
+    so that the forests of different bands begin at the same nodes and have many edges in common.
 
     A group has two tiles of a bucket at most, so what is held is bounded. Groups whose numbers collide are compared
     together, which only costs time."""
@@ -237,7 +259,7 @@ def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48
         sizes = np.diff(np.r_[starts, len(keys)])
         few = np.repeat(sizes <= small, sizes)
         where = np.flatnonzero(few)
-        i, j = small_links(fps[where], np.repeat(np.arange(len(sizes)), sizes)[where], radius)
+        i, j = thinned(*small_links(fps[where], np.repeat(np.arange(len(sizes)), sizes)[where], radius))
         a, b = [nodes[where[i]]], [nodes[where[j]]]
         for s, m in zip(starts[sizes > small], sizes[sizes > small], strict=True):
             i, j = forest(fps[s : s + m], radius)
@@ -312,7 +334,7 @@ def node_links(dealt: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
     held = held.select(
         F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp", "node"
     )
-    held = held.repartition(partitions(dealt.sparkSession), "grp").sortWithinPartitions("grp")
+    held = held.repartition(partitions(dealt.sparkSession), "grp").sortWithinPartitions("grp", "node")
     return held.mapInArrow(lambda rows: links_of_groups(rows, radius), "a long, b long")
 
 

@@ -56,7 +56,7 @@ class WordEncoder:
     entry that is gone is only encoded again.
     """
 
-    def __init__(self, path: str, max_parts: int = 300_000, max_part_chars: int = 64):
+    def __init__(self, path: str, max_parts: int = 250_000, max_part_chars: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
