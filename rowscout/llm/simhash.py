@@ -3,8 +3,9 @@
 A fingerprint has a bit for each bit position that is 1 in over half the hashes of the text's word shingles. Equal
 fingerprints are one node. Two nodes within a small radius agree on one of radius + 1 bands of bits at least, so nodes
 are dealt to buckets by band and value, and compared within buckets only; no pair within the radius is lost. Where a
-similarity is asked for, fingerprints are longer, the radius is wider, and the bands are many (see near_duplicates). A bucket of
-more than `tile` nodes is cut into tiles, and each pair of tiles is a bucket of its own, so no task holds more than two
+similarity is asked for, fingerprints only find candidates, and the exact Jaccard similarity of the shingle sets decides:
+fingerprints are longer, the radius is wide, the bands are many, and sets of few shingles meet by a prefix filter, which
+loses none of their pairs (see similar_nodes). A bucket of more than `tile` nodes is cut into tiles, and each pair of tiles is a bucket of its own, so no task holds more than two
 tiles of a bucket whatever the data.
 
 Within a task the fingerprints are stored vertically: a plane for each bit, holding it for 64 fingerprints a word. The
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import by_size, coalesced_text, durable, map_batches, partitions, position
+from .frames import by_size, coalesced_text, durable, free_memory, map_batches, partitions, position
 
 MOST_BROADCAST = 100_000
+SHORT = 40  # shingles of a set that goes through the prefix filter
+TILE_BYTES = 16 << 20  # of shingle sets
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -96,6 +99,31 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str =
     return map_batches(base, run, f"id long, text_hash long, fp {'long' if words == 1 else 'binary'}")
 
 
+def shingle_sets(docs: DataFrame, width: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id long, text_hash long, fp binary, key (128 bits of the set of shingles), n (its size), short (the set itself, as
+    ascending hashes, where it has SHORT shingles at most) of every row; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        free_memory()  # what other stages have left in this worker
+        for batch in batches:
+            texts, fps, keys, sizes, short = batch.column(2), [], [], [], []
+            for lo, hi in by_size(texts, 4_000_000):
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    hashes = np.unique(shingle_hashes(t, width))
+                    raw = hashes.tobytes()
+                    fps.append(long_fingerprint(hashes, words))
+                    keys.append(xxh3_128_digest(raw))
+                    sizes.append(len(hashes))
+                    short.append(raw if len(hashes) <= SHORT else None)
+            columns = [pa.array(fps, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", "fp", "key", "n", "short"])
+
+    base = coalesced_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("text_hash"), "text")
+    return base.mapInArrow(run, "id long, text_hash long, fp binary, key binary, n int, short binary")
+
+
 def word_rows(column: pa.Array) -> np.ndarray:
     """Fingerprints as rows of words."""
     if pa.types.is_integer(column.type):
@@ -299,14 +327,18 @@ def pigeonhole(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select("fp", "node", F.explode(keys).alias("bucket"))
 
 
-def banded(nodes: DataFrame, band_bits: int) -> DataFrame:
-    """fp, node, bucket: a row for each whole band of band_bits bits of a long fp."""
+def banded(nodes: DataFrame, band_bits: int, turns: int = 2) -> DataFrame:
+    """fp, node, bucket: a row for each whole band of band_bits bits of a long fp; then the same of its bits in another
+    order, for as many turns."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = word_rows(batch.column(0))
         bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
         bands = bits.shape[1] // band_bits
-        shaped = bits[:, : bands * band_bits].reshape(len(rows), bands, band_bits).astype(np.int64)
+        orders = [np.random.default_rng(k).permutation(bits.shape[1]) if k else np.arange(bits.shape[1]) for k in range(turns)]
+        bits = np.concatenate([bits[:, o[: bands * band_bits]] for o in orders], axis=1)
+        bands *= turns
+        shaped = bits.reshape(len(rows), bands, band_bits).astype(np.int64)
         keys = (shaped << np.arange(band_bits)).sum(axis=2) * bands + np.arange(bands)
         at = pa.array(np.repeat(np.arange(len(rows)), bands))
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys.ravel())], ["fp", "node", "bucket"])
@@ -319,30 +351,155 @@ def banded(nodes: DataFrame, band_bits: int) -> DataFrame:
     return nodes.select("fp", "node").mapInArrow(small, "fp binary, node long, bucket long")
 
 
-def node_links(dealt: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
-    """Edges (a, b) of forests that join the nodes (fp, node, bucket) which share a bucket and whose fingerprints link."""
-    large = dealt.groupBy("bucket").count().where(F.col("count") > tile)
-    large = durable(large.select(F.col("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+def with_tiles(dealt: DataFrame, size: F.Column) -> DataFrame:
+    """dealt with the number of tiles of each row's bucket; size is an aggregate, how many tiles a bucket fills."""
+    large = dealt.groupBy("bucket").agg(F.ceil(size).cast("int").alias("tiles")).where("tiles > 1")
+    large = durable(large.select(F.col("bucket").alias("large"), "tiles"))
     many = large.count()
     if not many:  # as a rule; then nothing is joined
-        held = dealt.withColumn("tiles", F.lit(1))
-    else:
-        large = F.broadcast(large) if many <= MOST_BROADCAST else large  # rows of two numbers
-        held = dealt.join(large, F.col("bucket") == F.col("large"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        return dealt.withColumn("tiles", F.lit(1))
+    large = F.broadcast(large) if many <= MOST_BROADCAST else large  # rows of two numbers
+    held = dealt.join(large, F.col("bucket") == F.col("large"), "left").drop("large")
+    return held.withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+
+
+def tile_pairs(held: DataFrame, payload: str) -> DataFrame:
+    """grp, payload, node: each pair of tiles of a bucket as a group, with groups side by side and nodes ascending."""
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     held = held.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp", "node"
+        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), payload, "node"
     )
-    held = held.repartition(partitions(dealt.sparkSession), "grp").sortWithinPartitions("grp", "node")
+    return held.repartition(partitions(held.sparkSession), "grp").sortWithinPartitions("grp", "node")
+
+
+def node_links(dealt: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
+    """Edges (a, b) of forests that join the nodes (fp, node, bucket) which share a bucket and whose fingerprints link."""
+    held = tile_pairs(with_tiles(dealt, F.count("*") / tile), "fp")
     return held.mapInArrow(lambda rows: links_of_groups(rows, radius), "a long, b long")
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Bits that two sets of this Jaccard similarity (and like size) differ in on average, and one standard deviation:
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets (of distinct numbers) whose Jaccard similarity is `similarity` or more. Like
+    forest(), but what a set has in common with all others is counted over lists of the sets that have each member."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, member, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(member, kind="stable")]
+    first = np.cumsum(count) - count
+    live = np.ones(n, bool)
+    left: list[int] = []
+    right: list[int] = []
+    for seed in range(n):
+        if not live[seed]:
+            continue
+        live[seed] = False
+        wait = [seed]
+        while wait and live.any():
+            i = wait.pop()
+            own = member[ends[i] - sizes[i] : ends[i]]
+            many = count[own]
+            at = np.arange(many.sum()) + np.repeat(first[own] - (np.cumsum(many) - many), many)
+            common = np.bincount(holders[at], minlength=n)
+            found = np.flatnonzero(live & (common / np.maximum(sizes + sizes[i] - common, 1) >= similarity))
+            live[found] = False
+            left += [i] * len(found)
+            right += found.tolist()
+            wait += found.tolist()
+    return left, right
+
+
+def exact_links_of_groups(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between nodes of the same group by the similarity of their sets. rows: group, set, node, with groups
+    side by side. A group has two tiles of a bucket at most."""
+    key, sets, nodes = None, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            i, j = jaccard_forest(sets, similarity)
+            if i:
+                of = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j])], ["a", "b"])
+
+    for batch in rows:
+        raw = batch.column(1)
+        for k, (group, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if group != key:
+                yield from flush()
+                key, sets, nodes = group, [], []
+            sets.append(np.frombuffer(raw[k].as_py(), np.uint64))
+            nodes.append(node)
+    yield from flush()
+
+
+def exact_links(held: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that join the nodes (set, node, bucket, tiles) which share a bucket and are alike."""
+    return tile_pairs(held, "set").mapInArrow(lambda rows: exact_links_of_groups(rows, similarity), "a long, b long")
+
+
+def prefix_length(n: F.Column, similarity: float) -> F.Column:
+    """Of two sets of this similarity, put in the same order, the first so many members have one in common."""
+    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+
+
+def prefixes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """set, node, bucket, n: a row for each shingle of the prefix (see prefix_length) of a short set."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        take = np.asarray(batch.column(3))
+        at = pa.array(np.repeat(np.arange(len(sets)), take))
+        keys = np.concatenate([x[:k] for x, k in zip(sets, take.tolist(), strict=True)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(2)), pa.array(keys), batch.column(2).take(at)], ["set", "node", "bucket", "n"])
+
+    short = nodes.where(F.col("short").isNotNull() & (F.col("n") > 0))
+    short = short.select(F.col("short").alias("set"), "node", "n", prefix_length(F.col("n"), similarity).alias("take"))
+    return map_batches(short, run, "set binary, node long, bucket long, n int")
+
+
+def tiles_of_sets(tile: int) -> F.Column:
+    return F.greatest(F.count("*") / tile, F.sum(F.col("n").cast("long") * 8) / TILE_BYTES)
+
+
+def sets_of(docs: DataFrame, held: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """set, node, bucket, tiles of the nodes (node, text_hash, bucket, tiles), the sets made anew from the texts."""
+    held = held.select("node", F.col("text_hash").alias("wanted"), "bucket", "tiles")
+    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held  # rows of four numbers
+    base = coalesced_text(docs, id_col, text_col)
+    texts = base.join(held, F.xxhash64("text") == F.col("wanted")).groupBy("node", "bucket", "tiles").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in by_size(whole.column(0), 4_000_000):
+                batch = whole.slice(lo, hi - lo)
+                sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(batch.column(k) for k in (1, 2, 3))], ["set", "node", "bucket", "tiles"])
+
+    return texts.select("text", "node", "bucket", "tiles").mapInArrow(run, "set binary, node long, bucket long, tiles int")
+
+
+def similar_nodes(
+    docs: DataFrame, nodes: DataFrame, similarity: float, width: int, words: int, band_bits: int, tile: int, id_col: str, text_col: str
+) -> DataFrame:
+    """Edges (a, b) that join the nodes (node, fp, n, short, text_hash) whose exact similarity is `similarity` or more.
+
+    Fingerprints that share a band and are within the wide radius are candidates; the components of the candidates hold
+    all that is alike, and within each every pair is compared exactly, until it is known to be joined. Short sets, whose
+    fingerprints say little, are also compared wherever two share a shingle of their prefixes.
+    """
+    loose = durable(node_links(banded(nodes, band_bits), radius_of(similarity, 64 * words), tile))
+    labels = components(loose).select(F.col("node").alias("labelled"), F.col("label").alias("bucket"))
+    found = durable(nodes.join(labels, F.col("node") == F.col("labelled")).select("node", "text_hash", "n", "bucket"))
+    found = sets_of(docs, with_tiles(found, tiles_of_sets(tile)), width, id_col, text_col)
+    short = with_tiles(prefixes(nodes, similarity), tiles_of_sets(tile)).select("set", "node", "bucket", "tiles")
+    return exact_links(found, similarity).unionByName(exact_links(short, similarity)).distinct()
+
+
+def radius_of(similarity: float, bits: int, deviations: float = 4) -> int:
+    """Bits that two sets of this Jaccard similarity (and like size) differ in on average, and some standard deviations:
     the share of differing bits is the angle between the sets as vectors, whose cosine is 2 J / (1 + J)."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def near_duplicates(
@@ -358,30 +515,35 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, text_hash, fp, component_id (the least doc_id reachable over links, its own included), for every row.
 
-    Without `similarity`, 64-bit fingerprints link within the radius, and none of those links is missed. With it, sets of
-    shingles of that Jaccard similarity link: fingerprints have 64 * words bits, the radius follows from the similarity
-    (see radius_of), and candidates share a band of band_bits bits. By default a pair of similarity 0.8 shares one of
-    its 36 bands with probability 0.98, one of 0.85 with 0.999; the estimate from 512 bits is within 0.03 or so.
+    Without `similarity`, 64-bit fingerprints link within the radius, and none of those links is missed. With it, rows
+    link if the sets of their shingles have that Jaccard similarity or more, by exact comparison. Candidates for it come
+    from fingerprints of 64 * words bits within mean and four standard deviations of a pair of that similarity, which
+    share one of the bands of band_bits bits: by default a pair of similarity 0.8 shares one of 72 with probability
+    0.9995, and is also compared where other candidates join it. Pairs with a set of at most 0.8 * SHORT shingles are never missed.
 
-    Cases: null and white-space-only texts have fingerprint zero, which links like any other. Rows of equal ids or
+    Cases: null and white-space-only texts have fingerprint zero, and link with one another. Rows of equal ids or
     texts stay rows of their own. A row without an id has a fingerprint and the component of those it links with, but
     never names one; it is null where no row of an id is reachable. Empty in, empty out.
     """
+    # a node for each fingerprint, or set of shingles: it exists even where ids are null or repeated; numbered once, as
+    # it is checkpointed
+    if similarity is None:
+        fps = durable(fingerprints(docs, width, 1, id_col, text_col).withColumn("key", F.col("fp")))
+        nodes = fps.groupBy("key", "fp").agg(F.min("id").alias("least"))
+    else:
+        fps = durable(shingle_sets(docs, width, words, id_col, text_col))
+        nodes = fps.groupBy("key", "fp", "n", "short").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     if similarity is None:
-        words = 1
+        links = durable(node_links(pigeonhole(nodes, radius), radius, tile))
     else:
-        radius = radius_of(similarity, 64 * words)
-    fps = durable(fingerprints(docs, width, words, id_col, text_col))
-    # a node for each fingerprint: it exists even where ids are null or repeated; numbered once, as it is checkpointed
-    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    dealt = pigeonhole(nodes, radius) if words == 1 else banded(nodes, band_bits)
-    links = durable(node_links(dealt, radius, tile))
+        links = durable(similar_nodes(docs, nodes, similarity, width, words, band_bits, tile, id_col, text_col))
     labels = components(links).withColumnRenamed("node", "labelled")
     joined = nodes.join(labels, F.col("node") == F.col("labelled"), "left")
-    joined = durable(joined.select("fp", "least", F.coalesce("label", "node").alias("label")))
+    joined = durable(joined.select("key", "least", F.coalesce("label", "node").alias("label")))
     names = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "text_hash", "fp", "component_id")
+    named = joined.join(names, "label").select("key", "component_id")
+    return fps.join(named, "key").select(F.col("id").alias("doc_id"), "text_hash", "fp", "component_id")
 
 
 def hex16(fp: str) -> F.Column:

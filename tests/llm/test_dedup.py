@@ -175,6 +175,55 @@ def test_similarity_links_what_is_alike(spark):
     assert len(apart) > 30 and all(got[a] == a for a in apart)
 
 
+def test_jaccard_forest():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, (8, 40), dtype=np.uint64)
+    sets = [np.unique(np.r_[b[: rng.integers(30, 41)], rng.integers(0, 1 << 63, rng.integers(0, 8), dtype=np.uint64)]) for b in base for _ in range(12)] + [np.empty(0, np.uint64)]
+    alike = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b))) >= 0.8
+    got, want = Sets(), Sets()
+    for a, b in zip(*simhash.jaccard_forest(sets, 0.8), strict=True):
+        assert alike(sets[a], sets[b])
+        got.join(a, b)
+    for a in range(len(sets)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                want.join(a, b)
+    assert all(got.find(x) == want.find(x) for x in range(len(sets)))
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_similarity_is_exact_around_the_threshold(spark, tile):
+    rng = random.Random(14)
+    word = iter(f"w{i}" for i in range(10**7))
+    texts, pairs = [], []
+
+    def pair(n, cut, drop=0):
+        """n words and a copy with a word replaced at each place of cut, without the last drop words."""
+        a = [next(word) for _ in range(n)]
+        b = [next(word) if i in cut else w for i, w in enumerate(a)][: n - drop]
+        pairs.append((len(texts), len(texts) + 1))
+        texts.extend((" ".join(a), " ".join(b)))
+
+    for _ in range(40):
+        pair(9, (), 1)  # 4 of 5 shingles
+        pair(49, (), 9)  # 36 of 45: 0.8
+        pair(49, (), 10)  # 35 of 45
+        for n, most in ((184, 7), (424, 14), (904, 30)):
+            for k in range(most // 2, most):
+                pair(n, {4 + 6 * i for i in range(k)})
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8, tile=tile).collect()}
+    exact = {p: jaccard(texts[p[0]], texts[p[1]]) for p in pairs}
+    at, under = [p for p in pairs if 0.8 <= exact[p] <= 0.82], [p for p in pairs if 0.7 <= exact[p] < 0.8]
+    assert len(at) > 120 and len(under) > 200
+    assert sum(got[a] == got[b] for a, b in at) / len(at) > 0.99
+    assert all(got[a] == got[b] for a, b in pairs if exact[a, b] >= 0.8 and len(texts[b].split()) <= 44)  # short: none is missed
+    assert all(got[a] == a and got[b] == b for a, b in under)
+    assert len(got) == len(texts)
+
+
 # Vectors
 
 
