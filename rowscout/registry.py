@@ -627,7 +627,7 @@ def range_audit_classify(spark, sf):
     plain=True,
 )
 def range_audit_preflight(spark, sf):
-    o = V.table(spark, sf, "orders").where("o_orderkey < 4000")
+    o = V.table(spark, sf, "orders")
     ids = [(F.col("o_orderkey") % 40).alias("file_id"), (F.col("o_custkey") % 30).alias("row_group_id")]
     asked = o.where("o_orderkey % 3 = 0").select(*ids)
     spans = o.where("o_orderkey % 5 = 0").select(*ids, F.lit(0).alias("offset"), F.when(F.col("o_custkey") % 17 == 0, 0).otherwise(10).alias("length"))

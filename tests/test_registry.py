@@ -37,3 +37,17 @@ def test_query_equals_duckdb(spark, duck, name):
     assert len(a) == len(b)
     for c in columns:
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+
+
+def test_preflight_reads_the_whole_table(spark):
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey").toPandas()
+    key = [o.o_orderkey % 40, o.o_custkey % 30]
+    span = o.o_orderkey % 5 == 0
+    unsound = (o.o_custkey[span] % 17 == 0).groupby(o.o_orderkey[span] % 40).sum()
+    repeated = {}
+    asked, granted = (o[m].groupby([k[m] for k in key]).size() for m in (o.o_orderkey % 3 == 0, span))
+    for pair in set(asked.index) | set(granted.index):
+        repeated[pair[0]] = repeated.get(pair[0], 0) + (max(asked.get(pair, 0), granted.get(pair, 0)) > 1)
+    got = {r.file_id: r for r in registry.QUERIES["range_audit_preflight"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(repeated)
+    assert all((r.repeated, r.unsound) == (repeated[k], unsound.get(k, 0)) for k, r in got.items())
