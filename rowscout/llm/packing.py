@@ -11,19 +11,26 @@ gives as many pieces as it needs. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import by_size, coalesced_text, map_batches
+from .frames import TEXT_BYTES, by_size, coalesced_text
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = 50_000  # rows of a batch
 
 
-def cuts(n: int, longest: int) -> list[int]:
-    """The lengths of the pieces of n ids, longest first; they are powers of two and sum to n."""
-    whole, rest = divmod(n, longest)
-    return [longest] * whole + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
+def cuts(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the pieces of documents of n ids each, longest first, document by document, and how many pieces
+    each has; lengths are powers of two and sum to n."""
+    sizes = longest >> np.arange(longest.bit_length())
+    times = n[:, None] // sizes & 1  # the binary digits below the longest
+    times[:, 0] = n // longest
+    return np.repeat(np.tile(sizes, len(n)), times.ravel()), times.sum(axis=1)
 
 
 def pack(
@@ -38,28 +45,27 @@ def pack(
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
-    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import struct
-
-        from .wordbpe import encoder
-
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
-        keys, texts = batch.column(0).to_pylist(), batch.column(1)
-        rows: list[tuple] = []
-        for lo, hi in by_size(texts, 4_000_000):
-            for key, ids in zip(keys[lo:hi], enc.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
-                ids += end
-                at, n = 0, len(ids) // 4
-                for size in cuts(n, longest):
-                    rows.append((key, at, size, n, ids[4 * at : 4 * (at + size)]))
-                    at += size
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"]
-        )
-
-    return map_batches(coalesced_text(docs, id_col, text_col), pieces, SCHEMA).select(
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .wordbpe import encoder, slices_of, with_end
+
+        enc = encoder(tokenizer)
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            for lo, hi in by_size(texts, TEXT_BYTES):
+                ids, first = with_end(*enc.encode_array(texts.slice(lo, hi - lo)), end_id)
+                n = np.diff(first)
+                size, times = cuts(n, longest)
+                at = np.r_[0, np.cumsum(size)]
+                doc = np.repeat(np.arange(len(n)), times)
+                for a in range(0, len(size), PIECES):
+                    b = min(a + PIECES, len(size))
+                    d = doc[a:b]
+                    cols = [keys.take(pa.array(lo + d)), *(pa.array(x) for x in (at[a:b] - first[d], size[a:b], n[d]))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*cols, slices_of(ids[at[a] : at[b]], at[a : b + 1] - at[a])], ["doc_id", "start", "length", "doc_tokens", "ids"]
+                    )
+
+    return coalesced_text(docs, id_col, text_col).mapInArrow(pieces, SCHEMA).select(
         "doc_id",
         "start",
         "length",
