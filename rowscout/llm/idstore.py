@@ -6,12 +6,14 @@ are all that a reader needs. A file is cut into blocks of `BLOCK` ids that can b
 the bit offset of each (a checkpoint). Decoding looks up the next MOST_BITS bits in one table, for all blocks of a file
 at once, one id of each block a step.
 
-File: magic, then little-endian u64 counts of documents, ids and payload bits, then for each document its id (i64,
-least value for null) and number of ids (u64), then the bit offset (u64) of each block, then the payload. Files are the
-rows of a Parquet table (file number, counts, code lengths, bytes), which Spark writes to whatever store the path names.
-
-Cases: a null text counts as empty and has the end id alone. Documents without an id come last. Equal ids are kept side
-by side. Other columns are ignored; an empty table gives no files and reads back empty.
+File: magic, then little-endian u64 counts of documents, of those without an id (which are the last), of ids and of
+payload bits, then for each document its id (i64; 0 if it has none) and number of ids (u64), then the bit offset (u64) of
+each block, then the payload. Files are the rows of a Parquet table (file number, counts, code lengths, bytes), which
+Spark writes to whatever store the path names.
+
+Cases: a null text counts as empty and has the end id alone. Documents without an id come last, in files of their own.
+Equal ids are kept side by side. Ids are compared as 64-bit integers. Other columns are ignored; an empty table gives no
+files and reads back empty.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import by_size, coalesced_text, even_keys, map_batches, partitions, worker_cache
+from .frames import TEXT_BYTES, by_size, coalesced_text, even_keys, partitions, parts_by_bytes, worker_cache
 
-MAGIC = b"ROWHUF1\0"
+MAGIC = b"ROWHUF2\0"
 MOST_BITS = 20
 BLOCK = 4096
-NULL_ID = -(1 << 63)
+FILE_BYTES = 16 << 20  # of source files whose documents make one file
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -123,21 +125,19 @@ def decode_bits(payload: bytes, offsets: np.ndarray, count: int, look: np.ndarra
     return out.reshape(-1)[:count]
 
 
-def file_image(ids: list, tokens: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint32)
+def file_image(keys: np.ndarray, nulls: int, sizes: np.ndarray, flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
+    """A file of documents in order, the last `nulls` of which have no id; flat has all their ids."""
     payload, offsets, bits = encode_bits(flat, codes, lengths)
-    keys = np.array([NULL_ID if i is None else i for i in ids], "<i8")
-    sizes = np.array([len(t) for t in tokens], "<u8")
-    head = MAGIC + struct.pack("<QQQ", len(ids), len(flat), bits)
-    return head + keys.tobytes() + sizes.tobytes() + offsets.astype("<u8").tobytes() + payload
+    head = MAGIC + struct.pack("<QQQQ", len(keys), nulls, len(flat), bits)
+    return b"".join([head, keys.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), payload])
 
 
-def parse_file(data: bytes, look: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, sizes and all ids of a file."""
+def parse_file(data: bytes, look: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Document ids, how many at the end have none, sizes and all ids of a file."""
     if data[:8] != MAGIC:
         raise ValueError("not a file of this format")
-    docs, count, bits = struct.unpack_from("<QQQ", data, 8)
-    at = 32
+    docs, nulls, count, bits = struct.unpack_from("<QQQQ", data, 8)
+    at = 40
     keys = np.frombuffer(data, "<i8", docs, at)
     sizes = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
     blocks = -(-count // BLOCK)
@@ -146,7 +146,7 @@ def parse_file(data: bytes, look: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     payload = data[at + 8 * blocks :]
     if len(payload) != -(-bits // 8) or int(sizes.sum()) != count:
         raise ValueError("the file is cut off")
-    return keys, sizes, decode_bits(payload, offsets, count, look)
+    return keys, nulls, sizes, decode_bits(payload, offsets, count, look)
 
 
 _LOOKS: dict[bytes, np.ndarray] = worker_cache()
@@ -160,54 +160,70 @@ def look_up(lengths: bytes) -> np.ndarray:
     return _LOOKS[lengths]
 
 
+def ranges(base: DataFrame, files: int) -> tuple[np.ndarray, int, int]:
+    """Cuts between `files` ranges of the ids, from approximate quantiles of their distance to the least, so that their
+    places do not hang on the ids' size; the number of files for rows with an id, and for those without."""
+    row = base.agg(F.min("id").alias("least"), F.count("id").alias("known"), F.count("*").alias("n")).first()
+    known, none = row["known"], row["n"] - row["known"]
+    spare = -(-files * none // max(1, known)) if known and none else files if none else 0
+    if files < 2 or not known:
+        return np.empty(0, np.int64), files if known else 0, spare
+    least = row["least"]
+    far = (F.col("id").cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")).cast("double")
+    cuts = base.where("id is not null").select(far.alias("far")).approxQuantile("far", [k / files for k in range(1, files)], 0.2 / files)
+    return np.array([min(least + int(c), (1 << 63) - 1) for c in cuts], np.int64), files, spare
+
+
 def write_ids(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Writes the ids of docs to path/files, in ascending order of document id, file by file.
 
-    Texts are encoded once. The ids (squeezed) are shuffled by ranges of document id; the counts and the files are made
-    from that one exchange. Ranges come from approximate quantiles of the id column, and documents of one id that fills
-    several ranges are spread over them.
+    Texts are encoded once. The ids are shuffled by ranges of document id; the counts and the files are made from that
+    one exchange. A file has about FILE_BYTES of the source files, and there is one for each core at least. Ranges are cut and compared as integers; documents of one id that fills several ranges are spread over them,
+    and so are those without an id over files that come last.
     """
-    import zstandard
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     top = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if top <= 1 << 16 else "<u4"
-    files = files or partitions(spark)
-    slots = np.array(even_keys(files))  # the key of each file: one for each shuffle partition
-    file_of = {slot: k for k, slot in enumerate(slots.tolist())}
     base = coalesced_text(docs, id_col, text_col)
-    cuts = base.where("id is not null").selectExpr("cast(id as double) id").approxQuantile("id", [k / files for k in range(1, files)], 0.2 / files) if files > 1 else []
-    cuts = np.array(cuts, float)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from .wordbpe import encoder
+    cuts, files, spare = ranges(base, files or parts_by_bytes(docs, FILE_BYTES))
+    files += spare
+    slots = np.array(even_keys(files, partitions(spark)), np.int32)  # the key of each file
+    file_of = {slot: k for k, slot in enumerate(slots.tolist())}
 
-        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        ids = batch.column(0)
-        value = ids.to_numpy(zero_copy_only=False).astype(float)
+    def file_at(ids: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        value, spread = np.asarray(ids.fill_null(0)), sizes * 2654435761
         low, high = np.searchsorted(cuts, value, "left"), np.searchsorted(cuts, value, "right")
-        texts, out, sizes = batch.column(1), [], []
-        for lo, hi in by_size(texts, 4_000_000):
-            for raw in enc.encode(texts.slice(lo, hi - lo).to_pylist()):
-                tokens = np.append(np.frombuffer(raw, "<u4"), end_id).astype(kind)
-                out.append(squeeze.compress(tokens.tobytes()))
-                sizes.append(len(tokens))
-        spread = np.array(sizes) * 2654435761 % (high - low + 1)
-        part = np.where(np.isnan(value), len(cuts), low + spread)
-        cols = [pa.array(slots[part], pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["part", "id", "n", "ids"])
-
-    tokens = map_batches(base, run, "part int, id long, n long, ids binary").groupBy("part")
+        found = low + spread % (high - low + 1)
+        return np.where(np.asarray(ids.is_null()), files - 1 - spread % max(spare, 1), found)
+
+    def run(batches):
+        from .wordbpe import encoder, slices_of, with_end
+
+        enc = encoder(tokenizer)
+        for batch in batches:
+            for lo, hi in by_size(batch.column(1), TEXT_BYTES):
+                ids, texts = (batch.column(k).slice(lo, hi - lo) for k in (0, 1))
+                flat, first = with_end(*enc.encode_array(texts), end_id)
+                sizes = np.diff(first)
+                cols = [pa.array(slots[file_at(ids, sizes)]), ids, pa.array(sizes), slices_of(flat.astype(kind), first)]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "id", "n", "ids"])
+
+    tokens = base.mapInArrow(run, "part int, id long, n long, ids binary").groupBy("part")
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        """All ids of a binary array, in its order."""
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], kind, int(ends[-1] - ends[0]) // np.dtype(kind).itemsize, int(ends[0]))
 
     def count(got: pa.Table) -> pa.Table:
-        squeeze, counts = zstandard.ZstdDecompressor(), np.zeros(top, np.int64)
-        column = got.column("ids").combine_chunks()
-        for a, b in by_size(column, 1_000_000):
-            flat = b"".join(map(squeeze.decompress, column.slice(a, b - a).to_pylist()))
-            counts += np.bincount(np.frombuffer(flat, kind), minlength=top)
+        counts = np.zeros(top, np.int64)
+        for column in got.column("ids").chunks:
+            if len(column):
+                counts += np.bincount(numbers(column), minlength=top)
         used = np.flatnonzero(counts)
         return pa.table({"id": used, "n": counts[used]})
 
@@ -220,13 +236,13 @@ def write_ids(
     def image(key, got, book):
         if not got.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "n_docs": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "lengths": pa.array([], pa.binary()), "image": pa.array([], pa.binary())})
-        got = got.sort_by([("id", "ascending"), ("n", "ascending")])
-        squeeze, lengths = zstandard.ZstdDecompressor(), book.column("lengths")[0].as_py()
+        got = got.sort_by([("id", "ascending"), ("n", "ascending")])  # nulls at the end
+        lengths = book.column("lengths")[0].as_py()
         size = np.frombuffer(lengths, np.uint8)
-        ids = [np.frombuffer(squeeze.decompress(x.as_py()), kind) for x in got.column("ids")]
-        data = file_image(got.column("id").to_pylist(), ids, canonical(size)[0], size)
-        n = int(sum(map(len, ids)))
-        return pa.table({"part": pa.array([file_of[key[0].as_py()]], pa.int32()), "n_docs": [got.num_rows], "n_tokens": [n], "lengths": pa.array([lengths], pa.binary()), "image": pa.array([data], pa.binary())})
+        keys, n = got.column("id").combine_chunks(), np.asarray(got.column("n").combine_chunks())
+        flat = np.concatenate([numbers(c) for c in got.column("ids").chunks if len(c)])
+        data = file_image(np.asarray(keys.fill_null(0)), keys.null_count, n, flat, canonical(size)[0], size)
+        return pa.table({"part": pa.array([file_of[key[0].as_py()]], pa.int32()), "n_docs": [got.num_rows], "n_tokens": [len(flat)], "lengths": pa.array([lengths], pa.binary()), "image": pa.array([data], pa.binary())})
 
     counts = tokens.applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     books = counts.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(codebook, "part int, lengths binary")  # one row for each id of the vocabulary
@@ -246,17 +262,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         from .idstore import look_up, parse_file
+        from .wordbpe import slices_of
 
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, counts, ids = parse_file(batch.column(2)[k].as_py(), look_up(batch.column(1)[k].as_py()))
+                keys, nulls, counts, ids = parse_file(batch.column(2)[k].as_py(), look_up(batch.column(1)[k].as_py()))
                 ends = np.cumsum(counts)
                 begin = ends - counts
                 start = begin + first.value[batch.column(0)[k].as_py()]
+                none, at = np.arange(len(keys)) >= len(keys) - nulls, np.r_[0, ends]
                 for a in range(0, len(keys), 2048):
-                    raw = [ids[i:j].astype("<u4").tobytes() for i, j in zip(begin[a : a + 2048], ends[a : a + 2048], strict=True)]
-                    part = keys[a : a + 2048]
-                    cols = [pa.array(part, mask=part == NULL_ID), pa.array(start[a : a + 2048]), pa.array(counts[a : a + 2048]), pa.array(raw, pa.binary())]
+                    b = min(a + 2048, len(keys))
+                    raw = slices_of(ids[at[a] : at[b]], at[a : b + 1] - at[a])
+                    cols = [pa.array(keys[a:b], mask=none[a:b]), pa.array(start[a:b]), pa.array(counts[a:b]), raw]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
     return table.select("part", "lengths", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
