@@ -6,18 +6,22 @@ anchor, in runs of neighbouring starts that share one:
 
 1. For each part of the corpus, the hashes of its anchors, each once, go to buckets; a bucket tells the parts which
    anchors occur in two documents or more. All other starts can't be repeated and are done with.
-2. The runs of repeated anchors go to their buckets with the bytes they cover. Within a part equal runs are settled at
-   once and one goes on, so that a passage of very many documents sends one run from each part.
-3. In a bucket, equal runs are put together, and where an anchor has several different runs, their suffixes are sorted
-   by bucket-pointer refinement: initial buckets by 8-byte q-grams, refined to 16, 32 and `length` bytes by sorting on
-   the bucket pointers of later offsets, each time reusing the pointers just refined and leaving out buckets of one.
-   Suffixes in one final bucket are the same string; its least document keeps it.
+2. The runs of repeated anchors go to their buckets with the bytes they cover. Of equal runs in a part only those of the
+   least document go on, so that a passage of very many documents sends one run from each part; what the others lose is
+   found in the part, as in 3.
+3. Suffixes are sorted by bucket-pointer refinement: initial buckets are 6-grams at starts of one anchor, refined to 12,
+   24, 48 and `length` bytes by sorting on the bucket pointers of later offsets, each time reusing the pointers just
+   refined and leaving out buckets of one. A copy of a run is in the same buckets as the run, so copies are sorted as one.
+   Suffixes in one final bucket are the same string; its least document keeps it. Nothing is removed on other grounds.
 4. Covered ranges go back to the parts, which cut the bytes out.
 
 An anchor of many occurrences, such as a short line that very many documents have and that each goes on from
 differently, would fill one bucket. The parts are told that it is one, and send its strings of `length` bytes singly,
 dealt by all their bytes, so that only equal strings meet (of which each part sends one).
 
+A part has about PART_BYTES of the source files. Parts and buckets tell each other at most a row for each pair, and never
+more rows than there are anchors or runs.
+
 Bytes are compared, never only hashes: a wrong hash match costs work and changes nothing. The documents are shuffled
 once, by part, and that exchange is read by all three passes over them.
 
@@ -34,11 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import even_keys, free_memory, partitions, position
+from .frames import bound_batches, even_keys, free_memory, partitions, parts_by_bytes, position
 
 #: Multipliers of the rolling hash and of its finish: odd 64-bit numbers without structure.
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ID_BITS = 40
+PART_BYTES = 8 << 20  # of source files whose documents make one part
 CHUNK = 1 << 19
 REFINE_ROWS = 4096
 #: An anchor that occurs so often is dealt string by string, see below.
@@ -296,13 +301,17 @@ def runs_of_part(part: Part, pid: int, replies: pa.Table, length: int, q: int, b
     key, doc, first, count, rows = key[order], doc[order], first[order], count[order], rows[order]
     ids = part.ids[doc]
     sizes = np.diff(np.r_[at, len(key)])
-    least = np.repeat(np.minimum.reduceat(ids, at), sizes) if len(at) else ids
-    settled = ids > least
+    least = np.minimum.reduceat(ids, at)
     begin = first - part.off[doc]
+    later = ids > np.repeat(least, sizes)
     out = []
-    if settled.any():
-        out.append((pid, -1 - pid, ranges_payload(doc[settled], begin[settled], count[settled])))
-    key, doc, count, rows, ids, begin = (x[~settled] for x in (key, doc, count, rows, ids, begin))
+    if later.any():
+        several = np.flatnonzero(np.add.reduceat(later, at))
+        member, offset, span = members_covered(rows, count + length - 1, key, ids, at, several, length)
+        take = later[member]
+        member, offset, span = member[take], offset[take], span[take]
+        out.append((pid, -1 - pid, ranges_payload(doc[member], begin[member] + offset, span)))
+    key, doc, count, rows, ids, begin = (x[~later] for x in (key, doc, count, rows, ids, begin))
     bucket = (key >> np.uint64(ID_BITS)).astype(np.int64)
     edge = grouped(bucket)
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -326,39 +335,44 @@ def ranges_payload(doc: np.ndarray, begin: np.ndarray, count: np.ndarray) -> byt
     return np.stack([x.astype("<u4") for x in (doc[at], begin[at], count)]).tobytes()
 
 
-def refine(pointer: np.ndarray, shared: np.ndarray, offset: int, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket pointers at a new depth: buckets of more than one suffix are sorted by the pointers `offset` later.
+def refine(pointer: np.ndarray, shared: np.ndarray, offset: int, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Refines bucket pointers in place to a new depth: buckets of more than one suffix are sorted by the pointers
+    `offset` later. Returns the positions whose new bucket has others.
 
-    pointer: of every position; shared: positions whose bucket has others; ends: end of each position's row; depth: of
-    the new buckets. Positions too near to their row's end for that depth leave the sort.
+    pointer: of every position, the place of its bucket's first suffix among all in sorted order, so the parts of a bucket
+    of n take names among the n that were its own; shared: positions whose bucket has others; ends: end of each position's
+    row; depth: of the new buckets. Positions too near to their row's end for that depth leave the sort, and no position
+    that stays ever looks at their pointers again.
     """
     at = shared[shared + depth <= ends[shared]]
-    later = pointer[at + offset]
-    order = np.lexsort((later, pointer[at]))
-    at = at[order]
-    head, tail = pointer[at], later[order]
-    new = np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])] if len(at) else np.empty(0, bool)
-    starts = np.flatnonzero(new)
+    key = pointer[at].astype(np.uint64) << np.uint64(32) | pointer[at + offset].astype(np.uint64)
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    starts = grouped(key)
     sizes = np.diff(np.r_[starts, len(at)])
-    out = pointer.copy()
-    out[at] = np.repeat(starts, sizes) + len(pointer)  # fresh names, apart from those of buckets of one
-    return out, at[np.repeat(sizes > 1, sizes)]
+    whole = (key[starts] >> np.uint64(32)).astype(np.int64)  # the bucket that a part comes from
+    opens = grouped(whole)
+    from_ = np.repeat(starts[opens], np.diff(np.r_[opens, len(whole)]))
+    pointer[at] = np.repeat(whole + starts - from_, sizes)
+    return at[np.repeat(sizes > 1, sizes)]
 
 
-def string_classes(rows: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the starts of all rows (row, start in it): a number that equal strings of `length` bytes share."""
+def string_classes(rows: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the starts of all rows (row, start in it): a number, less than the bytes of all rows, that equal strings of
+    `length` bytes in rows of one anchor (a number under 65536) share."""
     row_end = np.cumsum(size)
     row_begin = row_end - size
     text = rows[:, :-1][np.arange(rows.shape[1] - 1) < size[:, None]]
     ends = np.repeat(row_end, size)
-    depth = 8
-    gram = np.zeros(len(text), np.uint64)
+    depth = 6
+    key = np.zeros(len(text), np.uint64)
     padded = np.r_[text, np.zeros(depth, np.uint8)]
     for k in range(depth):
-        gram = gram << np.uint64(8) | padded[k : k + len(text)]
+        key = key << np.uint64(8) | padded[k : k + len(text)]
+    key = key << np.uint64(16) | np.repeat(anchor.astype(np.uint64), size)
     whole = np.flatnonzero(np.arange(len(text)) + depth <= ends)
-    order = whole[np.argsort(gram[whole], kind="stable")]
-    at = grouped(gram[order])
+    order = whole[np.argsort(key[whole])]
+    at = grouped(key[order])
     sizes = np.diff(np.r_[at, len(order)])
     pointer = np.full(len(text), -1, np.int64)
     pointer[order] = np.repeat(at, sizes)
@@ -366,34 +380,47 @@ def string_classes(rows: np.ndarray, size: np.ndarray, length: int) -> tuple[np.
     # a bucket of one keeps its pointer: no other suffix has it, so nothing that is compared with it can be equal
     while depth < length:
         step = min(depth, length - depth)
-        fresh, shared = refine(pointer, shared, step, ends, depth + step)
-        pointer, depth = compact(fresh), depth + step
+        shared = refine(pointer, shared, step, ends, depth + step)
+        depth += step
     many = size - length + 1
     row = np.repeat(np.arange(len(size)), many)
     start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     return row, start, pointer[row_begin[row] + start]
 
 
-def compact(pointer: np.ndarray) -> np.ndarray:
-    """The same buckets with names below their number's bound, so that they stay small over the refinements."""
-    return np.unique(pointer, return_inverse=True)[1].astype(np.int64)
+def owned(rows: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int):
+    """Of different runs with their least ids: ranges of starts (row, first, number) whose strings have one least id
+    among all rows, and that id."""
+    row, start, name = string_classes(rows, size, anchor, length)
+    mine = least[row]
+    owner = np.full(int(size.sum()), np.iinfo(np.int64).max)
+    np.minimum.at(owner, name, mine)
+    owner = owner[name]
+    cut = np.flatnonzero(np.r_[len(row) > 0, (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])])
+    return row[cut], start[cut], np.diff(np.r_[cut, len(row)]), owner[cut]
 
 
-def mixed_ranges(rows: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of different runs with their least ids: ranges of starts (row, first, number) whose string has a smaller id in
-    another row."""
-    row, start, name = string_classes(rows, size, length)
-    mine = least[row]
-    order = np.argsort(name, kind="stable")
-    edge = grouped(name[order])
-    owner = np.empty(len(name), np.int64)
-    owner[order] = np.repeat(np.minimum.reduceat(mine[order], edge), np.diff(np.r_[edge, len(name)]))
-    hit = owner < mine
-    new = np.r_[True, (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])]
-    cut = np.flatnonzero(new)
-    span = np.diff(np.r_[cut, len(row)])[hit[cut]]
-    cut = cut[hit[cut]]
-    return row[cut], start[cut], span
+def members_covered(rows: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray, at: np.ndarray, some: np.ndarray, length: int):
+    """Ranges of starts (member, first, number) whose strings also start in a document of a smaller id. Members with equal
+    rows of one anchor are side by side, class by class (from at[c]), and classes by anchor; `some` are the classes to
+    look at. Anchors are taken up whole, as many as make a chunk: equal strings have equal anchors."""
+    members = np.diff(np.r_[at, len(key)])
+    least = np.minimum.reduceat(ids, at)
+    ends = np.r_[grouped(key[at[some]])[1:], len(some)]
+    found: list[tuple] = []
+    begin = 0
+    while begin < len(some):
+        end = int(ends[min(np.searchsorted(ends, begin + REFINE_ROWS), len(ends) - 1)])
+        part = some[begin:end]
+        begin = end
+        anchor = np.cumsum(np.r_[0, key[at[part]][1:] != key[at[part]][:-1]])
+        row, first, span, owner = owned(rows[at[part]], size[at[part]], anchor & 0xFFFF, least[part], length)
+        cls = part[row]
+        times = members[cls]  # each range holds for all members of its class, but for the owner's own
+        member = np.repeat(at[cls], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        lost = np.repeat(owner, times) < ids[member]
+        found.append((member[lost], np.repeat(first, times)[lost], np.repeat(span, times)[lost]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
 def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
@@ -422,32 +449,9 @@ def covered_ranges(got: pa.Table, length: int, q: int) -> pa.Table:
     rows, size = np.concatenate(bodies), size.astype(np.int64)
     order, at = row_classes(rows, key)
     key, ids, begin, doc, size, sender = (x[order] for x in (key, ids, begin, doc, size, sender))
-    rows = rows[order[at]]
-    members = np.diff(np.r_[at, len(key)])
-    least = np.minimum.reduceat(ids, at) if len(at) else ids
-    whole = ids > np.repeat(least, members)
-    out = [(sender[whole], doc[whole], begin[whole].astype(np.int64), size[whole] - length + 1)]
-    # anchors with several different runs
-    first = grouped(key[at])
-    kinds = np.diff(np.r_[first, len(at)])
-    mixed = np.flatnonzero(np.repeat(kinds > 1, kinds))
-    if len(mixed):
-        ends = np.flatnonzero(np.r_[key[at][mixed][1:] != key[at][mixed][:-1], True]) + 1
-        begin_at = 0
-        while begin_at < len(mixed):  # whole anchors, as many as make a chunk: equal strings have equal anchors
-            end_at = int(ends[min(np.searchsorted(ends, begin_at + REFINE_ROWS), len(ends) - 1)])
-            some = mixed[begin_at:end_at]
-            begin_at = end_at
-            where, offset, span = mixed_ranges(rows[some], size[at][some], least[some], length)
-            # each range holds for all members of its class that have the class's least id
-            cls = some[where]
-            times = members[cls]
-            where = np.repeat(at[cls], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            offset, span = np.repeat(offset, times), np.repeat(span, times)
-            take = ~whole[where]
-            where, offset, span = where[take], offset[take], span[take]
-            out.append((sender[where], doc[where], begin[where].astype(np.int64) + offset, span))
-    sender, doc, begin, count = (np.concatenate(x) for x in zip(*out, strict=True))
+    rows = rows[order]
+    member, offset, count = members_covered(rows, size, key, ids, at, np.arange(len(at)), length)
+    sender, doc, begin = sender[member], doc[member], begin[member].astype(np.int64) + offset
     order = np.argsort(sender, kind="stable")
     sender, doc, begin, count = sender[order], doc[order], begin[order], count[order]
     edge = grouped(sender)
@@ -516,12 +520,12 @@ def _cut(docs: DataFrame, build, schema: str, id_col: str, text_col: str, length
     """The passes. build(part, sorted table, kept, removed, spans) makes a part's result."""
     if not 8 <= q < length <= 128:
         raise ValueError("8 <= q < length <= 128 is needed")
+    bound_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     i, t = position(names, id_col), position(names, text_col)
     plain = plain.withColumn(f"_c{i}", F.col(f"_c{i}").cast("long")).withColumn(f"_c{t}", F.col(f"_c{t}").cast("string"))
-    # a part for each shuffle partition and no more: what parts and buckets tell each other is a row for each pair
-    parts = np.array(even_keys(partitions(docs.sparkSession)))
+    parts = np.array(even_keys(parts_by_bytes(docs, PART_BYTES), partitions(docs.sparkSession)))
     slot = F.pmod(F.xxhash64(f"_c{i}", f"_c{t}"), F.lit(len(parts))).cast("int")
     plain = plain.withColumn("pid", F.get(F.lit(parts.astype(np.int32)), slot) if len(parts) <= 20_000 else slot)
     width = len(names)
