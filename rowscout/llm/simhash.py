@@ -1,21 +1,24 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A fingerprint has a bit for each bit position that is 1 in over half the hashes of the text's word shingles. Equal
-fingerprints are one node. Two nodes within a small radius agree on one of radius + 1 bands of bits at least, so nodes
-are dealt to buckets by band and value, and compared within buckets only; no pair within the radius is lost. Where a
-similarity is asked for, fingerprints only find candidates, and the exact Jaccard similarity of the shingle sets decides:
-fingerprints are longer, the radius is wide, the bands are many, and sets of few shingles meet by a prefix filter, which
-loses none of their pairs (see similar_nodes). A bucket of more than `tile` nodes is cut into tiles, and each pair of tiles is a bucket of its own, so no task holds more than two
-tiles of a bucket whatever the data.
+fingerprints are one node. Two nodes within a small radius agree on c of radius + c blocks of bits at least, so nodes are
+dealt to buckets by every choice of c blocks and their values, and compared within buckets only; no pair within the
+radius is lost, and with more nodes c grows, so that buckets stay small (see pigeonhole). Where a similarity is asked
+for, fingerprints only find candidates, and the exact Jaccard similarity of the shingle sets decides: fingerprints are
+longer, the radius is wide, the bands are many, and sets of few shingles meet by a prefix filter, which loses none of
+their pairs (see similar_nodes). A bucket of more than `tile` nodes is cut into tiles, and each pair of tiles is a bucket
+of its own, so no task holds more than two tiles of a bucket whatever the data.
 
 Within a task the fingerprints are stored vertically: a plane for each bit, holding it for 64 fingerprints a word. The
 distances of a whole plane row are counted at once with carry-save adders over the planes; words all of whose lanes
-have gone beyond the radius are abandoned on the way. Buckets give only the edges of a spanning forest of their links,
-never all pairs of a group, and the forests are joined into components (see components.py).
+have gone beyond the radius are abandoned on the way. Of a bucket's links only their trees go on, never all pairs of a
+group: an edge from each node to the least node of its tree, so that the buckets of different bands say much the same.
+The trees are joined into components (see components.py).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -27,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import by_size, coalesced_text, durable, free_memory, map_batches, partitions, position
+from .frames import MOST_BROADCAST, by_size, coalesced_text, durable, free_memory, looked_up, map_batches, partitions, position
 
-MOST_BROADCAST = 100_000
 SHORT = 40  # shingles of a set that goes through the prefix filter
 TILE_BYTES = 16 << 20  # of shingle sets
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -86,17 +88,19 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str =
     """id long, text_hash long, fp of every row; a null text counts as empty. fp is a long (the 64 bits as a signed
     number) or, of several words, their bytes."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, out = batch.column(2), []
-        for lo, hi in by_size(texts, 4_000_000):
-            for t in texts.slice(lo, hi - lo).to_pylist():
-                hashes = shingle_hashes(t, width)
-                out.append(fingerprint(hashes) if words == 1 else long_fingerprint(hashes, words))
-        fps = pa.array(np.array(out, np.uint64).view(np.int64)) if words == 1 else pa.array(out, pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "text_hash", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()  # what other stages have left in this worker
+        for batch in batches:
+            texts, out = batch.column(2), []
+            for lo, hi in by_size(texts, 4_000_000):
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    hashes = shingle_hashes(t, width)
+                    out.append(fingerprint(hashes) if words == 1 else long_fingerprint(hashes, words))
+            fps = pa.array(np.array(out, np.uint64).view(np.int64)) if words == 1 else pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "text_hash", "fp"])
 
     base = coalesced_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("text_hash"), "text")
-    return map_batches(base, run, f"id long, text_hash long, fp {'long' if words == 1 else 'binary'}")
+    return base.mapInArrow(run, f"id long, text_hash long, fp {'long' if words == 1 else 'binary'}")
 
 
 def shingle_sets(docs: DataFrame, width: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,8 +235,8 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links within one group: each row is compared, bit-sliced, with the rows that no row has
-    reached yet, and those it reaches wait their turn."""
+    """The trees of the links within one group, as an edge from each row to the first of its tree: each row is compared,
+    bit-sliced, with the rows that no row has reached yet, and those it reaches wait their turn."""
     n, p = len(fps), planes(fps)
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(bool)
     live = _lane_words(np.ones(n, bool))
@@ -247,15 +251,15 @@ def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
             i = wait.pop()
             found = within(lambda b, at: ~p[b][at] if bits[i, b] else p[b][at], live, radius, len(p))  # noqa: B023
             live &= ~found
-            for j in _lanes(found).tolist():
-                left.append(i)
-                right.append(j)
-                wait.append(j)
+            reached = _lanes(found).tolist()
+            left += [seed] * len(reached)
+            right += reached
+            wait += reached
     return left, right
 
 
 def thinned(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of links, those that join two trees: a spanning forest."""
+    """Of links, their trees: an edge from each row to the least of its tree."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -264,20 +268,17 @@ def thinned(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
             x = y
         return x
 
-    a, b = [], []
-    order = np.lexsort((right, left))
-    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
         x, y = find(i), find(j)
         if x != y:
             up[max(x, y)] = min(x, y)
-            a.append(i)
-            b.append(j)
-    return a, b
+    below = sorted(up)
+    return [find(x) for x in below], below
 
 
 def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between nodes of the same group. rows: group, fp, node, with groups side by side and nodes ascending,
-    so that the forests of different bands begin at the same nodes and have many edges in common.
+    """Edges (a, b) from nodes to the least of their trees in a group. rows: group, fp, node, with groups side by side and
+    nodes ascending, so that the trees of different bands begin at the same nodes and have many edges in common.
 
     A group has two tiles of a bucket at most, so what is held is bounded. Groups whose numbers collide are compared
     together, which only costs time."""
@@ -314,17 +315,25 @@ def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48
             yield out
 
 
-def pigeonhole(nodes: DataFrame, radius: int) -> DataFrame:
-    """fp, node, bucket: a row for each of radius + 1 bands of a 64-bit fp. Fingerprints within the radius agree on one."""
-    bands = radius + 1
-    cuts = [round(64 * k / bands) for k in range(bands + 1)]
-    keys = F.array(
-        *(
-            F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) * bands + k
-            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
-        )
-    )
-    return nodes.select("fp", "node", F.explode(keys).alias("bucket"))
+def pigeonhole(nodes: DataFrame, radius: int, choose: int = 1) -> DataFrame:
+    """fp, node, bucket: a 64-bit fp is cut into radius + choose blocks, and there is a row for every choice of `choose`
+    of them, whose bits are the bucket's. Fingerprints within the radius agree on that many blocks at least."""
+    blocks = radius + choose
+    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
+    choices = list(itertools.combinations(range(blocks), choose))
+    keys = []
+    for k, chosen in enumerate(choices):
+        key, width = F.lit(0).cast("long"), 0
+        for c in chosen:
+            bits = F.shiftrightunsigned("fp", cuts[c]).bitwiseAND(F.lit((1 << cuts[c + 1] - cuts[c]) - 1))
+            key, width = key.bitwiseOR(F.shiftleft(bits, width)), width + cuts[c + 1] - cuts[c]
+        keys.append(key * len(choices) + k)
+    return nodes.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
+
+
+def blocks_for(n: int, radius: int, tile: int) -> int:
+    """How many blocks to choose, so that a bucket of n evenly dealt nodes has a tile at most."""
+    return next((c for c in range(1, radius + 1) if n >> 64 * c // (radius + c) <= tile), radius + 1)
 
 
 def banded(nodes: DataFrame, band_bits: int, turns: int = 2) -> DataFrame:
@@ -380,8 +389,8 @@ def node_links(dealt: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs of sets (of distinct numbers) whose Jaccard similarity is `similarity` or more. Like
-    forest(), but what a set has in common with all others is counted over lists of the sets that have each member."""
+    """The trees of the pairs of sets (of distinct numbers) whose Jaccard similarity is `similarity` or more, as an edge
+    from each set to the first of its tree. Like forest(), but what a set has in common with all others is counted over lists of the sets that have each member."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
     ends = np.cumsum(sizes)
     _, member, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -403,15 +412,15 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
             common = np.bincount(holders[at], minlength=n)
             found = np.flatnonzero(live & (common / np.maximum(sizes + sizes[i] - common, 1) >= similarity))
             live[found] = False
-            left += [i] * len(found)
+            left += [seed] * len(found)
             right += found.tolist()
             wait += found.tolist()
     return left, right
 
 
 def exact_links_of_groups(rows: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between nodes of the same group by the similarity of their sets. rows: group, set, node, with groups
-    side by side. A group has two tiles of a bucket at most."""
+    """Edges (a, b) from nodes to the least of their trees in a group, by the similarity of their sets. rows: group, set,
+    node, with groups side by side and nodes ascending. A group has two tiles of a bucket at most."""
     key, sets, nodes = None, [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -464,7 +473,7 @@ def tiles_of_sets(tile: int) -> F.Column:
 def sets_of(docs: DataFrame, held: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """set, node, bucket, tiles of the nodes (node, text_hash, bucket, tiles), the sets made anew from the texts."""
     held = held.select("node", F.col("text_hash").alias("wanted"), "bucket", "tiles")
-    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held  # rows of four numbers
+    held = F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held  # rows of four numbers
     base = coalesced_text(docs, id_col, text_col)
     texts = base.join(held, F.xxhash64("text") == F.col("wanted")).groupBy("node", "bucket", "tiles").agg(F.first("text").alias("text"))
 
@@ -487,9 +496,9 @@ def similar_nodes(
     all that is alike, and within each every pair is compared exactly, until it is known to be joined. Short sets, whose
     fingerprints say little, are also compared wherever two share a shingle of their prefixes.
     """
-    loose = durable(node_links(banded(nodes, band_bits), radius_of(similarity, 64 * words), tile))
-    labels = components(loose).select(F.col("node").alias("labelled"), F.col("label").alias("bucket"))
-    found = durable(nodes.join(labels, F.col("node") == F.col("labelled")).select("node", "text_hash", "n", "bucket"))
+    loose = node_links(banded(nodes, band_bits), radius_of(similarity, 64 * words), tile)
+    labels = components(loose).select("node", F.col("label").alias("bucket"))
+    found = durable(looked_up(nodes.select("node", "text_hash", "n"), labels, "node"))
     found = sets_of(docs, with_tiles(found, tiles_of_sets(tile)), width, id_col, text_col)
     short = with_tiles(prefixes(nodes, similarity), tiles_of_sets(tile)).select("set", "node", "bucket", "tiles")
     return exact_links(found, similarity).unionByName(exact_links(short, similarity)).distinct()
@@ -525,41 +534,71 @@ def near_duplicates(
     texts stay rows of their own. A row without an id has a fingerprint and the component of those it links with, but
     never names one; it is null where no row of an id is reachable. Empty in, empty out.
     """
+    found = grouped_rows(docs, width, radius, tile, similarity, words, band_bits, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), "text_hash", "fp", "component_id")
+
+
+def grouped_rows(
+    docs: DataFrame, width: int, radius: int, tile: int, similarity: float | None, words: int, band_bits: int, id_col: str, text_col: str
+) -> DataFrame:
+    """id, text_hash, fp, label (the group's, also where no row has an id), component_id of every row."""
     # a node for each fingerprint, or set of shingles: it exists even where ids are null or repeated; numbered once, as
     # it is checkpointed
     if similarity is None:
-        fps = durable(fingerprints(docs, width, 1, id_col, text_col).withColumn("key", F.col("fp")))
+        fps = durable(fingerprints(docs, width, 1, id_col, text_col).withColumn("key", F.col("fp")), few=True)
         nodes = fps.groupBy("key", "fp").agg(F.min("id").alias("least"))
     else:
-        fps = durable(shingle_sets(docs, width, words, id_col, text_col))
+        fps = durable(shingle_sets(docs, width, words, id_col, text_col), few=True)
         nodes = fps.groupBy("key", "fp", "n", "short").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     if similarity is None:
-        links = durable(node_links(pigeonhole(nodes, radius), radius, tile))
+        links = node_links(pigeonhole(nodes, radius, blocks_for(nodes.count(), radius, tile)), radius, tile)
     else:
-        links = durable(similar_nodes(docs, nodes, similarity, width, words, band_bits, tile, id_col, text_col))
-    labels = components(links).withColumnRenamed("node", "labelled")
-    joined = nodes.join(labels, F.col("node") == F.col("labelled"), "left")
+        links = similar_nodes(docs, nodes, similarity, width, words, band_bits, tile, id_col, text_col)
+    labels = components(links)
+    joined = looked_up(nodes.select("key", "least", "node"), labels, "node", "left")
     joined = durable(joined.select("key", "least", F.coalesce("label", "node").alias("label")))
-    names = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "label").select("key", "component_id")
-    return fps.join(named, "key").select(F.col("id").alias("doc_id"), "text_hash", "fp", "component_id")
+    names = durable(joined.groupBy("label").agg(F.min("least").alias("component_id")))
+    named = durable(looked_up(joined.select("key", "label"), names, "label"))
+    return looked_up(fps.select("id", "text_hash", "fp", "key"), named, "key")
 
 
 def hex16(fp: str) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that no earlier copy stands for: one of each component, and every row without an id.
-
-    Of a component the row of the least id stays; of rows that share that id and are linked, all stay (the id says they
-    are one). A row is told from others of its id by a hash of its text.
+def keep_one(
+    docs: DataFrame,
+    width: int = 3,
+    radius: int = 3,
+    tile: int = 2048,
+    similarity: float | None = None,
+    words: int = 8,
+    band_bits: int = 14,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of docs of each group: that of the least id; of those that share it, or where none has an id, that of the
+    least text hash; and of repeated rows of one id and text, any one. A row is told by its id and a hash of its text.
     """
-    names, id_col, text_col = docs.columns, options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = near_duplicates(docs, **options).where(F.col("doc_id") > F.col("component_id"))
-    gone = found.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
+    names = docs.columns
+    found = grouped_rows(docs, width, radius, tile, similarity, words, band_bits, id_col, text_col)
+    rows = durable(found.groupBy("label", "id", "text_hash").count(), few=True)  # the rows of a text are one group's
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    first = rows.groupBy("label").agg(F.min(order).alias("first")).select("label", F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = durable(looked_up(rows, durable(first), "label"))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = rows.where(~stays).select(F.col("id").alias("_gone"), F.col("text_hash").alias("_text"))
+    several = rows.where(stays & (F.col("count") > 1)).select(F.col("id").alias("_gone"), F.col("text_hash").alias("_text"))
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    key, text = (F.col(f"_c{position(names, c)}") for c in (id_col, text_col))
-    on = (key.cast("long") == F.col("_gone")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_text"))
-    return plain.join(gone, on, "left_anti").toDF(*names)
+    id_, text = (F.col(f"_c{position(names, c)}") for c in (id_col, text_col))
+    plain = plain.withColumn("_id", id_.cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # rows of two numbers
+        return rows.join(F.broadcast(keys) if few else keys, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_text")), how)
+
+    kept = matched(plain, gone, "left_anti")
+    if not several.isEmpty():
+        kept = matched(kept, several, "left_anti").unionByName(matched(kept, several, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return kept.drop("_id", "_hash").toDF(*names)
