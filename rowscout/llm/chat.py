@@ -7,7 +7,7 @@ The turns of a conversation are collected as structs and sorted. Adjacent turns
 `<:` opens a block, `<+:` goes on in it with a turn of its own, `</turn>` and a line feed close it. In texts and roles
 a backslash is written `\\s`, `<` is written `\\l` and `>` is written `\\g`, so what a text says can't be taken for a
 mark, and the text comes back exactly. The loss mask marks the texts of the trained role: run lengths in code points
-over the whole formatted string, alternating marks (never trained) and texts.
+over the whole formatted string to its end, alternating marks (never trained) and texts.
 
 Cases: null texts and null roles count as empty. Turns are ordered by turn number (null first), then role, then text,
 so ties are settled; repeated rows are turns of their own. A null conv_id is a conversation. Other columns are ignored;
@@ -42,7 +42,8 @@ def format_chats(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """conv_id, formatted, loss_runs: array of (chars, loss) that covers `formatted`, two for each turn."""
+    """conv_id, formatted, loss_runs: array of (chars, loss) that covers `formatted` to its end: for each turn its marks and
+    its text, and then the last mark."""
     got = pick(rows, **{id_col: "long", turn_col: "long", role_col: "string", text_col: "string"})
     turn = F.struct(
         F.col(turn_col).alias("turn"),
@@ -69,23 +70,36 @@ def format_chats(
         )
 
     text = F.array_join(F.transform("p", lambda x: F.concat(x["opening"], x["text"], x["closing"])), "")
-    return parts.select("conv_id", text.alias("formatted"), F.flatten(F.transform("p", chars)).alias("loss_runs"))
+    last = F.array(F.struct(F.length(F.element_at("p", -1)["closing"]).alias("chars"), F.lit(False).alias("loss")))
+    return parts.select("conv_id", text.alias("formatted"), F.concat(F.flatten(F.transform("p", chars)), last).alias("loss_runs"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted, turns: array of (role, text, loss_text), read back from the string and its loss runs.
 
-    loss_text is what of the turn's text lies under the loss mask (null if nothing does).
+    loss_text is what of the turn's text lies under the loss mask (null if nothing does). The mask is read by position:
+    the runs must cover the string to its end, and each must begin and end where a text or what lies between texts does;
+    a mask that is shifted, too short or too long is an error. Where every run is as long as its stretch of the string, all
+    runs lie where they should, so positions need not be added up.
     """
     pieces = F.filter(F.split("formatted", "<", -1), lambda x: (x != "") & ~x.startswith("/"))
     cut = formatted.select("conv_id", "formatted", "loss_runs", pieces.alias("pieces"))
 
+    def fits(x: Column, i: Column) -> Column:
+        mark = F.instr(x, ">")
+        closed = F.when((i > 0) & x.startswith(":"), len("</turn>\n")).otherwise(0)  # a new block closes the one before
+        between, text = F.get("loss_runs", 2 * i), F.get("loss_runs", 2 * i + 1)
+        return (between["chars"] == closed + mark + 1) & ~between["loss"] & (text["chars"] == F.length(x) - mark)
+
+    last = F.element_at("loss_runs", -1)
+    whole = (F.size("loss_runs") == 2 * F.size("pieces") + 1) & (last["chars"] == len("</turn>\n")) & ~last["loss"]
+    fitting = whole & F.forall(F.transform("pieces", fits), lambda ok: F.coalesce(ok, F.lit(False)))
+
     def turn(x: Column, i: Column) -> Column:
         mark = F.instr(x, ">")
-        text = F.substr(x, mark + 1)
-        run = F.get("loss_runs", 2 * i + 1)
-        loss = F.when(run["loss"], unescaped(F.substr(text, F.lit(1), run["chars"])))
+        text = unescaped(F.substr(x, mark + 1))
         role = F.substr(x, F.locate(":", x) + 1, mark - F.locate(":", x) - 1)
-        return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"), loss.alias("loss_text"))
+        return F.struct(unescaped(role).alias("role"), text.alias("text"), F.when(F.get("loss_runs", 2 * i + 1)["loss"], text).alias("loss_text"))
 
-    return cut.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"))
+    turns = F.when(F.coalesce(fitting, F.lit(False)), F.transform("pieces", turn)).otherwise(F.raise_error(F.lit("the loss mask does not fit the text")))
+    return cut.select("conv_id", "formatted", turns.alias("turns"))
