@@ -7,8 +7,9 @@ pair over the threshold meets in a cell: the cells lose no link. How many cells
 data cluster (on noise without structure in 64 dimensions, with few cells, most of them).
 
 Equal vectors are one node with a weight. A cell with more than `cell_rows` vectors of its own is cut into slices, and
-each slice is a task of its own, so a task holds one slice and streams the rest past it in blocks. Link counts are
-summed from each task; for components a task gives the edges of a spanning forest only.
+each slice is a task of its own, so a task holds one slice and streams the rest past it in blocks. The number of cells
+grows with the number of vectors, up to MOST_CELLS. Link counts are summed from each task; for components a task gives
+the edges of a spanning forest only.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import durable, partitions, pick, position
+from .frames import bound_batches, durable, looked_up, partitions, pick, position
 
 BLOCK = 512
+MOST_CELLS = 32_768
+BROADCAST_NUMBERS = 2_000_000  # of all vectors of a broadcast
 
 
 def unit_rows(column: pa.Array, width: int) -> np.ndarray:
@@ -36,7 +39,14 @@ def unit_rows(column: pa.Array, width: int) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
-    """k unit centroids of unit rows, by Lloyd rounds from distinct rows; an empty cell takes the worst-placed row."""
+    """k unit centroids of unit rows, by Lloyd rounds from distinct rows; an empty cell takes the worst-placed row. Many
+    are fitted in two levels: about sqrt(k) cells first, then the share of each by its rows."""
+    if k > 1024:
+        top = spherical_kmeans(x, math.isqrt(k), rounds, seed)
+        home = np.concatenate([(x[a : a + 8192] @ top.T).argmax(axis=1) for a in range(0, len(x), 8192)])
+        groups = [g for c in range(len(top)) if len(g := np.flatnonzero(home == c))]
+        shares = [min(len(g), max(1, round(k * len(g) / len(x)))) for g in groups]
+        return np.concatenate([spherical_kmeans(x[g], n, rounds, seed) for g, n in zip(groups, shares, strict=True)])
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -55,12 +65,17 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) ->
 
 def visits(x: np.ndarray, centers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each row, and a matrix of the other cells it visits."""
-    dots = x @ centers.T
-    home = dots.argmax(axis=1)
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(centers @ centers.T, -1, 1)))
+    home, near = np.empty(len(x), np.int64), np.empty((len(x), len(centers)), bool)
     half = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
-    near = dots[np.arange(len(x)), home][:, None] - dots <= half * apart[home] + 1e-9
-    near[np.arange(len(x)), home] = False
+    step = max(16, 4_000_000 // len(centers))
+    for a in range(0, len(x), step):
+        dots = x[a : a + step] @ centers.T
+        mine = home[a : a + step] = dots.argmax(axis=1)
+        homes, which = np.unique(mine, return_inverse=True)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(centers[homes] @ centers.T, -1, 1)))
+        rows = np.arange(len(mine))
+        near[a : a + step] = dots[rows, mine][:, None] - dots <= half * apart[which] + 1e-9
+        near[a + rows, mine] = False
     return home, near
 
 
@@ -192,14 +207,15 @@ def near_duplicate_vectors(
 ) -> DataFrame:
     """id, n_links (other rows at cosine >= threshold), component_id (least id reachable), kept, for every row.
 
-    The centroids come from at most fit_rows rows, and there are at most fit_rows / 8 of them, which bounds the
-    broadcast; the fit changes how much work there is, never which links are found.
+    The centroids come from fit_rows rows, or eight for each cell where there are more cells, and there are at most
+    MOST_CELLS of them, which bounds the sample and the broadcast; the fit changes how much work there is, never which
+    links are found.
 
-    Cases: vectors that are null, empty, zero, hold null or non-finite components, or have another width than most, and
-    rows without an id, link with nothing: n_links 0, the row's own id as component, kept. Equal vectors link, also
-    under one id. Other columns are ignored. Empty in, empty out.
+    Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id, link with
+    nothing: n_links 0, the row's own id as component, kept. Vectors link only with others of their width; each width is
+    a pass of its own. Equal vectors link, also under one id. Other columns are ignored. Empty in, empty out.
     """
-    spark = df.sparkSession
+    bound_batches(df.sparkSession)
     kind = df.schema.fields[position(df.columns, vec_col)].dataType
     single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     base = pick(df, **{id_col: "long", vec_col: "array<float>" if single else "array<double>"})
@@ -207,26 +223,32 @@ def near_duplicate_vectors(
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     base = base.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    common = base.where("sound").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = common[0]["w"] if common else 0
-    base = base.withColumn("sound", F.col("sound") & (F.size("v") == width))
-    good = base.where("sound").select("id", "v")
+    widths = sorted(r["w"] for r in base.where("sound").select(F.size("v").alias("w")).distinct().collect())  # as a rule one
+    alone = base.where(~F.col("sound")).select(
+        "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
+    )
+    out = alone.withColumnRenamed("id", id_col)
+    for width in widths:
+        good = base.where(F.col("sound") & (F.size("v") == width)).select("id", "v")
+        out = _of_width(good, width, single, threshold, cell_rows, fit_rows).withColumnRenamed("id", id_col).unionByName(out)
+    return out
+
+
+def _of_width(good: DataFrame, width: int, single: bool, threshold: float, cell_rows: int, fit_rows: int) -> DataFrame:
+    """id, n_links, component_id, kept of sound vectors (id, v) of one width."""
+    spark = good.sparkSession
     nodes = durable(
         good.groupBy("v")
         .agg(F.min("id").alias("least"), F.count("*").alias("weight"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
     n = nodes.count()
-    alone = base.where(~F.col("sound")).select(
-        "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
-    )
-    alone = alone.withColumnRenamed("id", id_col)
-    if not n:
-        return alone
-    fit = nodes.orderBy(F.xxhash64("v")).limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
+    cells = min(-(-n // cell_rows), MOST_CELLS)
+    fit = nodes.orderBy(F.xxhash64("v")).limit(max(fit_rows, 8 * cells)).select("v").toArrow().column(0).combine_chunks()
     x = unit_rows(fit, width)
-    cells = max(1, min(-(-n // cell_rows), len(x) // 8))
+    cells = max(1, min(cells, len(x) // 8))
     centers = spark.sparkContext.broadcast(spherical_kmeans(x, cells))
+    cells = len(centers.value)
 
     def homes(batches):
         for batch in batches:
@@ -267,19 +289,12 @@ def near_duplicate_vectors(
         deal, f"task int, cell int, role int, home int, nid long, weight long, v {vector}, near binary"
     )
     dealt = dealt.repartition(partitions(spark), "cell", "task").sortWithinPartitions("cell", "task", "role")
-    found = durable(dealt.mapInArrow(lambda rows: cell_links(rows, threshold, width, cells), "a long, b long, n long"))
+    found = durable(dealt.mapInArrow(lambda rows: cell_links(rows, threshold, width, cells), "a long, b long, n long"), few=True)
     counts = found.where("b is null").groupBy(F.col("a").alias("nid")).agg(F.sum("n").alias("links"))
     labels = components(found.where("b is not null").select("a", "b"))
-    named = durable(
-        nodes.join(counts, "nid", "left")
-        .join(labels, nodes["nid"] == labels["node"], "left")
-        .select("v", "least", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "nid").alias("label"))
-    )
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select(
-        F.col("v").alias("nv"), (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"
-    )
-    linked = good.join(named, F.col("v") == F.col("nv")).select(
-        F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
-    )
-    return linked.unionByName(alone)
+    known = nodes.join(counts, "nid", "left").select("v", "least", "weight", F.col("nid").alias("node"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = durable(looked_up(durable(known), labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = durable(known.groupBy("label").agg(F.min("least").alias("component_id")))
+    named = durable(looked_up(known, least, "label").select("v", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"))
+    linked = looked_up(durable(good), named, "v", most=BROADCAST_NUMBERS // width)
+    return linked.select("id", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
