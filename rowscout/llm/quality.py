@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from .frames import by_size, durable, free_memory, map_batches, pick, position
+from .frames import bound_batches, by_size, durable, free_memory, map_batches, pick, position
 
 SHAPES = 10
 MOST_BROADCAST = 50_000
+MOST_KEYS = 100_000  # rows of two numbers
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -197,12 +198,15 @@ def judged(
     path_col: str = "lang",
     good_at: float = 0.5,
     toxic_at: float = 0.1,
-) -> tuple[DataFrame, dict[str, Column]]:
-    """docs under plain names (_c0, _c1, ...) with the site's columns, and columns p_quality, p_toxic and keep to select.
+) -> tuple[DataFrame, DataFrame]:
+    """docs under plain names (_c0, _c1, ...) with what tells a row (_id, and _key, a hash of text and site), and for each
+    of them a row of _id, _key, p_quality, p_toxic, keep and its site's columns, without the text.
 
-    Evidence is computed twice, for the sums and for the rows, rather than shuffling texts: the rows only meet the
-    table of sites, which is broadcast if it has at most MOST_BROADCAST rows and otherwise joined by key.
+    The evidence of every text is computed once and kept as a narrow table, from which both the sums of sites and the
+    verdicts come. It meets the table of sites, which is broadcast if it has at most MOST_BROADCAST rows and otherwise
+    joined by key.
     """
+    bound_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     text = F.coalesce(F.col(f"_c{position(names, text_col)}").cast("string"), F.lit(""))
@@ -211,6 +215,7 @@ def judged(
         (F.col(f"_c{position(names, c)}").cast("string") if c.lower() in low else F.lit(None).cast("string"))
         for c in (host_col, path_col)
     ]
+    plain = plain.withColumn("_id", F.col(f"_c{position(names, id_col)}").cast("long")).withColumn("_key", F.xxhash64(text, *site))
     models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most_labels, id_col, text_col))
 
     def run(batches):
@@ -226,27 +231,30 @@ def judged(
             yield pa.array(rows, kinds)
 
     evidence = F.arrow_udf(run, "z_quality double, z_toxic double", ArrowUDFType.SCALAR_ITER)
-    seen = plain.select(site[0].alias("host"), site[1].alias("path"), evidence(text).alias("z"))
-    sites = durable(site_shifts(seen.select("host", "path", "z.*")))
+    told = plain.select("_id", "_key", site[0].alias("_host"), site[1].alias("_path"), evidence(text).alias("_z"))
+    told = durable(told.select("_id", "_key", "_host", "_path", "_z.*"), few=True)
+    sites = durable(site_shifts(told.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "z_quality", "z_toxic")))
     if sites.count() <= MOST_BROADCAST:  # rows of two names and a dozen numbers
         sites = F.broadcast(sites)
-    rows = plain.withColumn("_z", evidence(text)).withColumn("_host", site[0]).withColumn("_path", site[1])
-    joined = rows.join(sites, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
-    good = _logistic(F.col("_z.z_quality") + F.coalesce("shift_quality", F.lit(0.0)))
-    toxic = _logistic(F.col("_z.z_toxic") + F.coalesce("shift_toxic", F.lit(0.0)))
-    return joined, {"p_quality": good, "p_toxic": toxic, "keep": (good >= good_at) & (toxic < toxic_at)}
+    joined = told.join(sites, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
+    good = _logistic(F.col("z_quality") + F.coalesce("shift_quality", F.lit(0.0)))
+    toxic = _logistic(F.col("z_toxic") + F.coalesce("shift_toxic", F.lit(0.0)))
+    posteriors = [f"{a}_{t}" for t in ("quality", "toxic") for a in ("host", "path")]
+    keep = ((good >= good_at) & (toxic < toxic_at)).alias("keep")
+    return plain, joined.select("_id", "_key", good.alias("p_quality"), toxic.alias("p_toxic"), keep, *posteriors)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, p_quality, p_toxic, keep, and the posteriors of host and path (host_quality, path_quality, ...)."""
-    rows, say = judged(docs, labels, id_col=id_col, **options)
-    at = f"_c{position(docs.columns, id_col)}"
-    sites = [f"{a}_{t}" for t in ("quality", "toxic") for a in ("host", "path")]
-    return rows.select(F.col(at).cast("long").alias("doc_id"), *(c.alias(n) for n, c in say.items()), *sites)
+    _, verdicts = judged(docs, labels, **options)
+    return verdicts.drop("_key").withColumnRenamed("_id", "doc_id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with docs' columns."""
-    names = docs.columns
-    rows, say = judged(docs, labels, **options)
-    return rows.where(say["keep"]).select(*(f"_c{i}" for i in range(len(names)))).toDF(*names)
+    """The rows of docs that stay, with docs' columns. Rows that go are found again by id, text and site: their keys are
+    broadcast if there are few, so that no text is shuffled; otherwise the rows are joined by key."""
+    plain, verdicts = judged(docs, labels, **options)
+    gone = verdicts.where(~F.col("keep")).select(F.col("_id").alias("_gone"), F.col("_key").alias("_of")).distinct()
+    gone = F.broadcast(gone) if gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS else gone
+    kept = plain.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_of")), "left_anti")
+    return kept.drop("_id", "_key").toDF(*docs.columns)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -47,22 +48,50 @@ def clashing(spark):
 
 
 def test_word_encoder_equals_the_library(library):
-    enc = WordEncoder(WORDS, max_parts=50)
+    enc = WordEncoder(WORDS, max_words=50)
     assert enc.by_part
     for _ in range(2):
         for t, got in zip(TEXTS, enc.encode(TEXTS), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
-    assert any(enc.plain(t) for t in TEXTS) and not all(enc.plain(t) for t in TEXTS)
 
 
-ENCODER = WordEncoder(WORDS, max_parts=1000)
+ENCODER = WordEncoder(WORDS, max_words=1000)
+MIXED = [
+    "It’s a test — “quoted”, naïve 😀 price €5 … T̈ ẗ é É K Å ﬁ ǅ ẞ", "中文分词,没有空格的句子。日本語テキスト 한국어 텍스트 가각 ไทย हिन्दी العربية", "ΑΣ ΑΣΑ Σ İi ıI Straße STRASSE x y　z",
+    "a​b ́start <|endoftext|>mid <|startoftext|> <| |> don’t DON'T o'clock's ''s", "x_y_z 3.14e-10 ²³ ½ Ⅷ ①②", "Ḁ̣̇ q̣̇",
+]
+
+
+def ids_of(raw):
+    return np.frombuffer(raw, "<u4").tolist()
 
 
 @given(st.text(st.characters(max_codepoint=0x250, exclude_categories=["Cs"]), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_word_encoder_on_any_latin_text(text):
-    want = ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == want
+    assert ids_of(ENCODER.encode([text])[0]) == ENCODER.library(text)
+
+
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(MIXED)), max_size=6).map(" ".join))
+@settings(max_examples=300, deadline=None)
+def test_word_encoder_on_any_script(text):
+    assert ids_of(ENCODER.encode([text])[0]) == ENCODER.library(text)
+
+
+def test_words_of_any_script_are_looked_up():
+    """No text leaves the tables for its script: only parts with a special token's beginning go to the library whole."""
+    from rowscout.llm.tokencount import Counts, frequent_lengths
+
+    texts = [f"{a} {b}" for a in MIXED for b in MIXED]
+    counts = Counts(WORDS, frequent_lengths(MIXED, WORDS))
+    got = [int(n) for _ in range(3) for n in counts.count(pa.array(texts))]
+    assert got == 3 * [len(ENCODER.library(t)) for t in texts]
+    assert counts.hits >= counts.asked - 3 and counts.misses <= 1 and counts.whole == 3 * 3  # the empty mark is no word
+    counts = Counts(WORDS, frequent_lengths([], WORDS))
+    assert [int(n) for n in counts.count(pa.array(texts))] == got[: len(texts)]
+    first = counts.misses
+    assert counts.asked >= first > 80 and [int(n) for n in counts.count(pa.array(texts))] == got[: len(texts)]
+    assert counts.misses == first  # the second time the worker's cache has them
 
 
 BPE = bytebpe.ByteBPE(BYTES, public_tokenizers.PATTERN, max_words=300)
@@ -95,7 +124,7 @@ def test_byte_bpe_operator(spark, tik):
 
 def test_token_counts(spark, library):
     docs = clashing(spark)
-    rows = tokencount.token_counts(docs, WORDS, limit=100, sample_docs=3).collect()
+    rows = tokencount.token_counts(docs, WORDS, limit=100, sample_docs=3, sample_every=1).collect()
     assert len(rows) == len(TEXTS) + 3
     for r in rows:
         if r.doc_id is not None and r.doc_id not in (2, 3):
@@ -106,13 +135,14 @@ def test_token_counts(spark, library):
 
 def test_first_tier_changes_nothing(spark):
     docs = table(spark, list(enumerate(TEXTS)))
-    a, b = (tokencount.token_counts(docs, WORDS, sample_docs=n).orderBy("doc_id").collect() for n in (1, 16))
+    a, b = (tokencount.token_counts(docs, WORDS, sample_docs=n, sample_every=e).orderBy("doc_id").collect() for n, e in ((1, 1), (16, 4)))
     assert a == b
 
 
 @given(st.integers(1, 100_000), st.sampled_from([1, 2, 64, 4096]))
 def test_cuts(n, longest):
-    got = packing.cuts(n, longest)
+    got, times = (x.tolist() for x in packing.cuts(np.array([n, 1]), longest))
+    assert sum(times) == len(got) and got.pop() == 1 and times[0] == len(got)
     assert sum(got) == n and all(x & (x - 1) == 0 and x <= longest for x in got) and got == sorted(got, reverse=True)
     assert len([x for x in got if x < longest]) == len({x for x in got if x < longest})
 
@@ -181,10 +211,29 @@ def test_id_files(spark, library, tmp_path):
     same = table(spark, [(7, f"text {i}") for i in range(50)])
     idstore.write_ids(same, str(tmp_path / "same"), WORDS, files=4)
     assert idstore.read_ids(spark, str(tmp_path / "same")).count() == 50
+    loose = table(spark, [(None, f"text {i}") for i in range(50)])
+    idstore.write_ids(loose, str(tmp_path / "loose"), WORDS, files=4)
+    assert idstore.read_ids(spark, str(tmp_path / "loose")).where("doc_id is null").count() == 50
     idstore.write_ids(docs.where("false"), str(tmp_path / "none"), WORDS)
     assert idstore.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_id_files_order_ids_as_integers(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    ids = [-(1 << 63), (1 << 63) - 1, -1, 0, 1 << 53, (1 << 53) + 1, None, None, *range((1 << 60) - 200, (1 << 60) + 200), *range(-(1 << 60), 90 - (1 << 60))]
+    rows = [(i, "word " * int(rng.integers(0, 9))) for i in ids]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    idstore.write_ids(table(spark, rows), str(tmp_path / "wide"), WORDS, files=4)
+    got = idstore.read_ids(spark, str(tmp_path / "wide")).orderBy("start").collect()
+    known = sorted(i for i in ids if i is not None)
+    assert [r.doc_id for r in got] == [*known, None, None]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    dense = table(spark, [(i, "word") for i in range((1 << 60) - 400, (1 << 60) + 400)])
+    idstore.write_ids(dense, str(tmp_path / "dense"), WORDS, files=4)
+    sizes = [r.n_docs for r in spark.read.parquet(str(tmp_path / "dense" / "files")).collect()]
+    assert sum(sizes) == 800 and len(sizes) == 4 and max(sizes) < 300  # the ranges are even however large the ids
+
+
 @given(st.binary(max_size=30_000))
 @settings(max_examples=40, deadline=None)
 def test_media_round_trip(text):
@@ -192,8 +241,8 @@ def test_media_round_trip(text):
     assert len(payload) % 576 == 0 and payload
     data = isomedia.wrap(payload)
     got = isomedia.sample_table(data)
-    assert b"".join(data[a : a + n] for a, n in got["samples"]) == payload
-    assert got["duration"] == got["ticks"] == len(payload) // 576 and got["key_ranges"] == got["samples"][::12]
+    assert isomedia.sample_bytes(data, got["at"], got["sizes"]) == payload
+    assert got["duration"] == got["ticks"] == len(payload) // 576 and np.flatnonzero(got["keys"]).tolist() == list(range(0, len(got["at"]), 12))
 
 
 def test_media_operator(spark):
@@ -230,8 +279,57 @@ def test_media_boxes_of_other_writers():
 
         at = len(head) + len(moov(0)) + 8
         got = isomedia.sample_table(head + moov(at) + b"\0\0\0\0mdat" + body)
-        assert [n for _, n in got["samples"]] == sizes and got["samples"][2][0] == at + 12
-        assert (got["codec"], got["duration"], got["ticks"], len(got["key_ranges"])) == ("avc1", 50, 50, 3)
+        assert got["sizes"].tolist() == sizes and got["at"][2] == at + 12
+        assert (got["codec"], got["duration"], got["ticks"], got["keys"].sum()) == ("avc1", 50, 50, 3)
+
+
+def track(number, handler, codec, tables, scale=1000):
+    import struct
+
+    stbl = isomedia.box(b"stbl", isomedia.full(b"stsd", struct.pack(">I", 1), isomedia.box(codec, bytes(70))), *tables)
+    mdia = isomedia.box(b"mdia", isomedia.full(b"mdhd", struct.pack(">IIII", 0, 0, scale, 0), bytes(4)), isomedia.full(b"hdlr", bytes(4), handler, bytes(13)), isomedia.box(b"minf", stbl))
+    return isomedia.box(b"trak", isomedia.full(b"tkhd", struct.pack(">III", 0, 0, number), bytes(68)), mdia)
+
+
+NO_SAMPLES = [isomedia.full(k, bytes(n)) for k, n in ((b"stts", 4), (b"stsc", 4), (b"stsz", 8), (b"stco", 4))]
+
+
+def test_media_fragments_and_video_track():
+    """A fragmented file of an audio and a video track, with runs of one size and of sizes of their own."""
+    import struct
+
+    trex = [isomedia.full(b"trex", struct.pack(">5I", n, 1, 40 // n, 4, 0x10000)) for n in (1, 2)]
+    moov = isomedia.box(b"moov", track(1, b"soun", b"mp4a", NO_SAMPLES), track(2, b"vide", b"avc1", NO_SAMPLES, 600), isomedia.box(b"mvex", *trex))
+    head = isomedia.box(b"ftyp", b"isom") + moov
+
+    def moof(own):
+        audio = isomedia.box(b"traf", isomedia.full(b"tfhd", struct.pack(">I", 1), flags=0x20000), isomedia.full(b"trun", struct.pack(">Ii", 2, own + 8), flags=0x1))
+        first = isomedia.full(b"trun", struct.pack(">IiI", 3, own + 16, 0), flags=0x5)  # the first is a key frame
+        second = isomedia.full(b"trun", struct.pack(">I6I", 2, 7, 5, 0, 9, 6, 0x10000), flags=0x700)
+        return isomedia.box(b"moof", isomedia.full(b"mfhd", bytes(4)), audio, isomedia.box(b"traf", isomedia.full(b"tfhd", struct.pack(">I", 2), flags=0x20000), first, second))
+
+    data = head + moof(len(moof(0))) + isomedia.box(b"mdat", b"aaaaAAAA" + b"11112222333344444555555")
+    got = isomedia.sample_table(data)
+    samples = [data[a : a + n] for a, n in zip(got["at"], got["sizes"], strict=True)]
+    assert samples == [b"1111", b"2222", b"3333", b"44444", b"555555"] and got["keys"].tolist() == [True, False, False, True, False]
+    assert (got["codec"], got["timescale"], got["duration"], got["ticks"]) == ("avc1", 600, 76, 76)
+    with pytest.raises(ValueError, match="no samples"):
+        isomedia.sample_table(head)
+
+
+def test_media_that_lies_is_refused(spark):
+    import struct
+
+    deep = b""
+    for _ in range(1500):
+        deep = isomedia.box(b"moov", deep)
+    huge = (1 << 32) - 1
+    forged = [[isomedia.full(k, struct.pack(">II", 1, huge) if k == b"stsz" and one else struct.pack(">I", huge) if k == kind else bytes(8)) for k in (b"stts", b"stsc", b"stsz", b"stco", b"stss")]
+              for kind, one in ((b"stsz", True), (b"stts", False), (b"stsc", False), (b"stco", False), (b"stss", False))]
+    runs = isomedia.box(b"moof", isomedia.box(b"traf", isomedia.full(b"tfhd", struct.pack(">I", 1)), isomedia.full(b"trun", struct.pack(">I", huge))))
+    bad = [deep, *(isomedia.box(b"moov", track(1, b"vide", b"raw ", t)) for t in forged), isomedia.box(b"moov", track(1, b"vide", b"raw ", NO_SAMPLES)) + runs]
+    rows = isomedia.probe(table(spark, list(enumerate(bad)), "doc_id long, media binary"), with_payload=True).collect()
+    assert len(rows) == 7 and all(r.error and r.codec is None for r in rows)
 
 
 HARD = [
@@ -251,7 +349,7 @@ def test_chats_come_back(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in mine]
         assert [t.loss_text for t in got[c].turns] == [x if r == "assistant" else None for _, r, x in mine]
         runs = plain[c].loss_runs
-        assert sum(r.chars for r in runs) == len(plain[c].formatted) - len("</turn>\n") and len(runs) == 2 * len(mine)
+        assert sum(r.chars for r in runs) == len(plain[c].formatted) and len(runs) == 2 * len(mine) + 1
         at, masked = 0, ""
         for r in runs:
             masked += plain[c].formatted[at : at + r.chars] if r.loss else ""
@@ -261,6 +359,10 @@ def test_chats_come_back(spark):
         assert masked == "".join(x for _, r, x in mine if r == "assistant")
     assert plain[1].formatted.count("<:user>") == 1 and "<+:user>again" in plain[1].formatted  # merged
     assert chat.format_chats(rows.where("false")).count() == 0
+    shift = F.transform("loss_runs", lambda r, i: F.struct((r["chars"] + F.when(i == 2, 1).when(i == 3, -1).otherwise(0)).alias("chars"), r["loss"].alias("loss")))
+    for wrong in (shift, F.slice("loss_runs", 1, F.size("loss_runs") - 1), F.concat("loss_runs", F.slice("loss_runs", 1, 2))):
+        with pytest.raises(Exception, match="does not fit"):
+            chat.read_chats(out.where("conv_id = 1").withColumn("loss_runs", wrong)).collect()
 
 
 def test_chat_plan_is_native(spark):
