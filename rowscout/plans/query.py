@@ -18,7 +18,7 @@ from ..operators.motion import quaternion_inversions
 from ..operators.resample import assemble, tensorize, tensorize_imu
 from ..schemas import CHANNELS, IMU_SCHEMA, POSE_SCHEMA
 from ..sinks.media import extract_frames
-from ..sources.rowgroups import scan
+from ..sources.rowgroups import kept, scan
 from .planner import DEFAULT_CHANNELS, DEFAULT_EGRESS, plan, plan_batch, session, split_channels
 from .report import (
     BatchQueryResult,
@@ -44,25 +44,32 @@ def _files(spans: Sequence[RowGroupSpan]) -> list[tuple[str, list[Span]]]:
 
 
 class _Reader:
-    """Scans of one query. Under enforcement a scan is kept until its audit has been taken."""
+    """Scans of one query. Under enforcement a scan is checkpointed, so that no range is read again after its audit has been
+    taken, and the single reads are kept by file."""
 
     def __init__(self, spark: SparkSession, enforce: bool, footer_bytes: int):
         self.spark, self.enforce, self.footer_bytes = spark, enforce, footer_bytes
-        self.totals, self.held = ReadTotals(), []
+        self.records: dict[str, list[dict]] = {}
 
     def read(self, schema, spans: Sequence[RowGroupSpan]) -> DataFrame:
         df = scan(self.spark, schema, _files(spans), self.enforce, self.footer_bytes)
         if self.enforce:
-            df = df.persist()
-            self.held.append(df)
-            for row in df.where("audit is not null").select("audit").collect():
-                told = json.loads(row["audit"])
-                self.totals.add(told["report"], told["records"])
+            df = kept(df)
+            for row in df.where("audit is not null").select("file_uri", "audit").collect():  # a row for each file
+                self.records.setdefault(row["file_uri"], []).extend(json.loads(row["audit"])["records"])
         return df.where("audit is null").drop("audit")
 
-    def close(self) -> None:
-        for df in self.held:
-            df.unpersist()
+    def totals(self) -> ReadTotals:
+        """All that was read, each read once."""
+        return ReadTotals.of(r for records in self.records.values() for r in records)
+
+    def totals_of(self, w: SeekPlan, media: Sequence[dict] = ()) -> ReadTotals:
+        """What was read for a window: the footers of its files, reads within its row groups, and its media's reads."""
+        mine = []
+        for uri, spans in _files((*w.pose_row_groups, *w.imu_row_groups)):
+            inside = lambda r: any(s.offset <= r["offset"] and r["offset"] + r["length"] <= s.offset + s.length for s in spans)  # noqa: B023, E731
+            mine += [r for r in self.records.get(uri, ()) if r["category"] != "authorized" or inside(r)]
+        return ReadTotals.of([*mine, *media])
 
 
 def _raised(e: PySparkException) -> Exception:
@@ -117,8 +124,7 @@ def _container(values: np.ndarray, output: str):
     return values
 
 
-def _manifest(p: SeekPlan, report, cert, reader: _Reader, inputs: dict, media_manifest) -> dict[str, object]:
-    t = reader.totals
+def _manifest(p: SeekPlan, report, cert, reader: _Reader, t: ReadTotals, inputs: dict, media_manifest) -> dict[str, object]:
     return p.to_manifest() | {
         "plan_inputs": inputs,
         "actual_reads": t.records,
@@ -141,7 +147,10 @@ def _manifest(p: SeekPlan, report, cert, reader: _Reader, inputs: dict, media_ma
     }
 
 
-def _run(spark, windows: Sequence[SeekPlan], channels, hz, output, enforce, footer_bytes, materialize_media, media_out, predicate, batch: bool) -> list[QueryResult]:
+def _run(
+    spark, windows: Sequence[SeekPlan], channels, hz, output, enforce, footer_bytes, materialize_media, media_out, predicate, batch: bool
+) -> tuple[list[QueryResult], ReadTotals]:
+    """Results of the windows, and what was read for all of them."""
     scalar, media = split_channels(channels)
     reader = _Reader(spark, enforce, footer_bytes)
     try:
@@ -164,7 +173,7 @@ def _run(spark, windows: Sequence[SeekPlan], channels, hz, output, enforce, foot
                 warnings, shape = validity_warnings(values, times, scalar), values.shape
                 span = (int(times[0]), int(times[-1])) if len(times) else None
                 tensor = _container(values, output)
-            frames = None
+            frames, media_reads = None, []
             if materialize_media and w.media_row_groups:
                 if media_out is None:
                     raise ValueError("materialize_media needs media_out=...")
@@ -173,25 +182,20 @@ def _run(spark, windows: Sequence[SeekPlan], channels, hz, output, enforce, foot
                 root = f"{media_out}/window_{i:03}_{_safe(w.session_id)}" if batch else str(media_out)
                 frames = extract_frames(spark, _files(w.media_row_groups), root, enforce, footer_bytes)
                 if frames.get("audit"):
-                    for told in frames.pop("audit"):
-                        reader.totals.add(told["report"], told["records"])
-            t = reader.totals
+                    media_reads = [r for told in frames.pop("audit") for r in told["records"]]
+                    reader.records.setdefault(root, []).extend(media_reads)
+            t = reader.totals_of(w, media_reads)
             report = replace(
                 w.diagnostics, quaternion_inversions_applied=int(turned.get(i, 0)), extrapolation_checked=True, range_audit_passed=enforce and t.violations == 0,
-                actual_cold_reads=t.reads, actual_cold_read_bytes=t.bytes, actual_authorized_bytes=t.authorized_bytes, footer_allowance_bytes=footer_bytes,
-                footer_bytes=t.footer_bytes, largest_metadata_read=t.largest_footer_read, max_footer_read_offset=t.max_offset, max_footer_read_end=t.max_end,
-                range_enforced=enforce, range_violations=t.violations,
+                footer_allowance_bytes=footer_bytes, range_enforced=enforce, **t.fields(),
             )
             cert = certificate(w, report, shape, span, scalar, media, hz, warnings)
             inputs = {"predicate": predicate, "channels": list(channels), "target_hz": hz, "enforce_ranges": enforce, "footer_allowance_bytes": footer_bytes}
-            manifest = _manifest(w, report, cert, reader, inputs, frames)
+            manifest = _manifest(w, report, cert, reader, t, inputs, frames)
             out.append(QueryResult(tensor, times, w.row_groups, w.pose_file_uri, w.authorized_total_bytes, output, report, manifest, frames, cert))
-        return out
+        return out, reader.totals()
     except PySparkException as e:
         raise _raised(e) from e
-    finally:
-        if output != "dataframe":
-            reader.close()
 
 
 def _safe(name: str) -> str:
@@ -230,7 +234,7 @@ def query(
     p = plan(channels=channels, max_egress_bytes=max_egress_bytes, spark=spark, **planning)
     if p.blocked_by_egress:
         raise EgressLimitError(f"the plan selects {p.authorized_total_bytes} bytes; the limit is {max_egress_bytes}")
-    (result,) = _run(spark, [p], channels, target_hz, output, enforce_ranges, footer_allowance_bytes, materialize_media, media_out, planning.get("predicate"), False)
+    (result,), _ = _run(spark, [p], channels, target_hz, output, enforce_ranges, footer_allowance_bytes, materialize_media, media_out, planning.get("predicate"), False)
     if manifest_out is not None:
         _write_json(manifest_out, result.manifest)
     return result
@@ -256,10 +260,10 @@ def query_batch(
     p = plan_batch(channels=channels, max_egress_bytes=max_egress_bytes, spark=spark, **planning)
     if p.blocked_by_egress:
         raise EgressLimitError(f"the plan selects {p.authorized_total_bytes} bytes; the limit is {max_egress_bytes}")
-    results = _run(spark, p.windows, channels, target_hz, output, enforce_ranges, footer_allowance_bytes, materialize_media, media_out, planning.get("predicate"), True)
-    report = replace(combined([r.diagnostics for r in results]), blocked_by_egress=False)
-    cert = combined_certificate([r.certificate for r in results])
-    manifest = p.to_manifest() | {"windows": [r.manifest for r in results], "diagnostics": asdict(report), "tensor_certificate": asdict(cert)}
+    results, reads = _run(spark, p.windows, channels, target_hz, output, enforce_ranges, footer_allowance_bytes, materialize_media, media_out, planning.get("predicate"), True)
+    report = replace(combined([r.diagnostics for r in results], reads), blocked_by_egress=False)
+    cert = combined_certificate([r.certificate for r in results], reads)
+    manifest = p.to_manifest() | reads.fields() | {"windows": [r.manifest for r in results], "diagnostics": asdict(report), "tensor_certificate": asdict(cert)}
     if manifest_out is not None:
         _write_json(manifest_out, manifest)
     return BatchQueryResult(tuple(results), p.authorized_total_bytes, output, report, manifest, cert)

@@ -23,6 +23,7 @@ class ExtrapolationError(RuntimeError):
     """The timeline leaves the samples."""
 
 
+#: The names and the order of the fields of the records below are those of public reports and manifests.
 @dataclass(frozen=True)
 class CorrectnessReport:
     pose_gap_count: int = 0
@@ -97,9 +98,10 @@ _OF_FIRST = {"velocity_threshold", "index_strategy", "candidate_row_groups", "ti
 _EVERY = {"extrapolation_checked", "range_audit_passed", "range_enforced"}
 
 
-def combined(reports: Sequence[CorrectnessReport]) -> CorrectnessReport:
+def combined(reports: Sequence[CorrectnessReport], reads: ReadTotals | None = None) -> CorrectnessReport:
     """Report of a batch. The stage counters belong to the one catalog query that all windows share; the ends of a
-    largest gap come from the window that has it."""
+    largest gap come from the window that has it. reads: what the batch read; a footer or row group that several windows
+    use is in the reports of all of them, and once in these totals."""
     if not reports:
         return CorrectnessReport()
     out: dict[str, object] = {}
@@ -117,7 +119,7 @@ def combined(reports: Sequence[CorrectnessReport]) -> CorrectnessReport:
         worst = max(reports, key=lambda r: getattr(r, f"{kind}_max_gap_ns"))
         for end in ("start", "end"):
             out[f"{kind}_max_gap_{end}_ts_ns"] = getattr(worst, f"{kind}_max_gap_{end}_ts_ns")
-    return CorrectnessReport(**out)
+    return CorrectnessReport(**out | (reads.fields() if reads is not None else {}))
 
 
 @dataclass(frozen=True)
@@ -132,6 +134,7 @@ class RowGroupSpan:
     stream_id: str = ""
 
 
+#: Keys of the manifests.
 _TOTALS = (
     "authorized_pose_bytes", "authorized_imu_bytes", "authorized_media_bytes", "authorized_total_bytes",
     "materialized_pose_imu_bytes", "planned_range_reads", "blocked_by_egress",
@@ -258,6 +261,24 @@ class ReadTotals:
     violations: int = 0
     records: list[dict[str, object]] = field(default_factory=list)
 
+    @classmethod
+    def of(cls, records: Iterable[dict[str, object]]) -> ReadTotals:
+        """The totals of single reads (offset, length, category)."""
+        records = list(records)
+        sums = {k: sum(r["length"] for r in records if r["category"] == k) for k in ("authorized", "footer")}
+        footers = [r["length"] for r in records if r["category"] == "footer"]
+        return cls(
+            len(records), sum(r["length"] for r in records), sums["authorized"], sums["footer"], max(footers, default=0), max((r["offset"] for r in records), default=0),
+            max((r["offset"] + r["length"] for r in records), default=0), sum(r["category"] == "violation" for r in records), records,
+        )
+
+    def fields(self) -> dict[str, int]:
+        """The totals under their names in a correctness report."""
+        return {
+            "actual_cold_reads": self.reads, "actual_cold_read_bytes": self.bytes, "actual_authorized_bytes": self.authorized_bytes, "footer_bytes": self.footer_bytes,
+            "largest_metadata_read": self.largest_footer_read, "max_footer_read_offset": self.max_offset, "max_footer_read_end": self.max_end, "range_violations": self.violations,
+        }
+
     def add(self, report: dict[str, int], records: Iterable[dict[str, object]] = ()) -> None:
         for k in ("reads", "bytes", "authorized_bytes", "footer_bytes", "violations"):
             setattr(self, k, getattr(self, k) + report[k])
@@ -327,7 +348,8 @@ def certificate(
     )
 
 
-def combined_certificate(parts: Sequence[TensorCertificate]) -> TensorCertificate | None:
+def combined_certificate(parts: Sequence[TensorCertificate], reads: ReadTotals | None = None) -> TensorCertificate | None:
+    """Certificate of a batch; reads as in combined()."""
     if not parts:
         return None
     spans = [p.timestamp_range_ns for p in parts if p.timestamp_range_ns]
@@ -347,7 +369,7 @@ def combined_certificate(parts: Sequence[TensorCertificate]) -> TensorCertificat
             "footer_allowance_bytes": enforced[0]["footer_allowance_bytes"],
             "range_audit_passed": all(e["range_audit_passed"] for e in enforced),
         },
-        cold_read_bytes=sum(p.cold_read_bytes for p in parts),
+        cold_read_bytes=reads.bytes if reads is not None else sum(p.cold_read_bytes for p in parts),
         extrapolation_status="rejected" if any(p.extrapolation_status == "rejected" for p in parts) else "checked",
         validity_warnings=tuple(w for p in parts for w in p.validity_warnings),
     )

@@ -9,6 +9,7 @@ a row of its own (kind `audit`), so data and audit are one job. Reads go through
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,14 @@ def read_groups(uri: str, ids: Sequence[int], schema_names: Sequence[str], spans
     return got, report, records
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names; in one of our own where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowscout-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def scan(
     spark: SparkSession,
     schema: StructType,
