@@ -1,12 +1,15 @@
 """Planning: from predicates over catalogs to authorised row groups, without reading a byte of the data.
 
 The catalog is filtered, marked stage by stage and counted in one job, whose result is the matched row groups with the
-counters on them. Inertial and media row groups of all windows come from one interval join each.
+counters on them. Inertial and media row groups of all windows come from one interval join each. Catalogs by path that
+are small enough are held in memory between plans (see hot.py), and need no job at all.
 """
 
 from __future__ import annotations
 
+import os
 import time
+from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,11 +20,13 @@ from ..functions import spatial
 from ..operators import select
 from ..operators.catalog import with_spatial_keys
 from ..schemas import CHANNELS, IMU_CATALOG_SCHEMA, MEDIA_CATALOG_SCHEMA, MEDIA_PREFIXES, POSE_CATALOG_SCHEMA, typed
+from . import hot
 from .predicate import Predicate, parse
 from .report import BatchSeekPlan, CorrectnessReport, RowGroupSpan, SeekPlan, TemporalGapError, combined
 
 DEFAULT_CHANNELS = ("pos_xyz", "rot_wxyz", "vel_xyz")
 DEFAULT_EGRESS = 1_000_000_000
+MOST_HELD = 4  # opened catalogs
 FEW_CANDIDATES = 2048
 
 
@@ -57,12 +62,17 @@ class Catalogs:
     imu: DataFrame | None
     media: DataFrame | None
     strategy: str
+    hot: dict[str, hot.HotTable]
 
     @classmethod
     def of(cls, spark: SparkSession, catalog, catalog_db, imu_catalog, media_catalog) -> Catalogs:
         """From Parquet catalogs (paths or DataFrames), or from a catalog root as operators.catalog.save writes it."""
         if (catalog is None) == (catalog_db is None):
             raise ValueError("pass exactly one of catalog=... or catalog_db=...")
+        names = (catalog, imu_catalog, media_catalog) if catalog is not None else tuple(f"{catalog_db}/{k}_row_groups" for k in ("pose", "imu", "media"))
+        known = _known(spark, names)
+        if known is not None:
+            return known
         if catalog is not None:
             pose, strategy = _open(spark, catalog, POSE_CATALOG_SCHEMA), "none"
             imu, media = _open(spark, imu_catalog, IMU_CATALOG_SCHEMA), _open(spark, media_catalog, MEDIA_CATALOG_SCHEMA)
@@ -76,7 +86,42 @@ class Catalogs:
             if "index_strategy" in pose.columns:
                 first = pose.select("index_strategy").limit(1).collect()
                 strategy = first[0][0] if first else strategy
-        return cls(pose, imu, media, strategy)
+        got = cls(pose, imu, media, strategy, {})
+        return _remembered(spark, names, got)
+
+
+_KNOWN: OrderedDict[tuple, tuple[tuple, Catalogs]] = OrderedDict()
+
+
+def _files(spark: SparkSession, names: tuple) -> tuple | None:
+    """What tells whether catalogs by path are still the same; None if one is no path."""
+    if any(n is not None and not isinstance(n, (str, os.PathLike)) for n in names):
+        return None
+    return tuple(hot.signature(spark, str(n)) if n is not None else None for n in names)
+
+
+def _known(spark: SparkSession, names: tuple) -> Catalogs | None:
+    """The opened catalogs of an earlier plan, if their files have not changed since."""
+    files = _files(spark, names)
+    key = (id(spark), *map(str, names))
+    if files is None or key not in _KNOWN or _KNOWN[key][0] != files:
+        return None
+    _KNOWN.move_to_end(key)
+    return _KNOWN[key][1]
+
+
+def _remembered(spark: SparkSession, names: tuple, cats: Catalogs) -> Catalogs:
+    """cats, with the tables that are small enough held in memory; kept for later plans if they come from paths."""
+    files = _files(spark, names)
+    if files is None or any(f is None for f, n in zip(files, names, strict=True) if n is not None):
+        return cats
+    for kind, df in (("pose", cats.pose), ("imu", cats.imu), ("media", cats.media)):
+        if df is not None and (table := hot.read(df)) is not None:
+            cats.hot[kind] = table
+    _KNOWN[(id(spark), *map(str, names))] = (files, cats)
+    while len(_KNOWN) > MOST_HELD:
+        _KNOWN.popitem(last=False)
+    return cats
 
 
 _ROW = [f.name for f in POSE_CATALOG_SCHEMA]
@@ -96,6 +141,31 @@ def candidates(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end
     return select.marked(cats.pose.where(select.identity(robot_id, session_id)), time_ok, rough, exact, fast)
 
 
+def _pruned(n: dict[str, int]) -> dict[str, int]:
+    """The counters of the stages with what each of them pruned."""
+    return n | {
+        "time_pruned": n["candidates"] - n["after_time"], "coarse_pruned": n["after_time"] - n["after_coarse"],
+        "spatial_pruned": n["after_time"] - n["after_exact"], "velocity_pruned": n["after_exact"] - n["after_velocity"],
+    }
+
+
+def _order(r: dict) -> tuple:
+    return r["start_ts_ns"], r["row_group_id"], r["robot_id"], r["session_id"]
+
+
+def found(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end, bbox, min_velocity, limit) -> tuple[list[dict], dict[str, int]]:
+    """Matched row groups and counters, from memory or by Spark."""
+    table = cats.hot.get("pose")
+    if table is None:
+        return matched(candidates(cats, pred, robot_id, session_id, start, end, bbox, min_velocity), limit)
+    boxes = [*pred.boxes, *([tuple(map(float, bbox))] if bbox is not None else [])]
+    for b in boxes:
+        spatial.overlaps(b)
+    at, n = hot.stages(table, cats.strategy, pred, boxes, robot_id, session_id, start, end, min_velocity)
+    hit = sorted(table.taken(at, _ROW), key=_order)
+    return (hit if limit is None else hit[:limit]), _pruned(n)
+
+
 def matched(rows: DataFrame, limit: int | None) -> tuple[list[dict], dict[str, int]]:
     """Matched row groups in order and the counters of all stages, which a limit does not touch.
 
@@ -106,10 +176,8 @@ def matched(rows: DataFrame, limit: int | None) -> tuple[list[dict], dict[str, i
     few = rows.select(*_ROW, *marks).limit(FEW_CANDIDATES + 1).collect()
     if len(few) <= FEW_CANDIDATES:
         n = {"candidates": len(few)} | {f"after_{s}": sum(r[f"m_{s}"] for r in few) for s in select.STAGES}
-        n["time_pruned"], n["coarse_pruned"] = n["candidates"] - n["after_time"], n["after_time"] - n["after_coarse"]
-        n["spatial_pruned"], n["velocity_pruned"] = n["after_time"] - n["after_exact"], n["after_exact"] - n["after_velocity"]
-        hit = sorted((r.asDict() for r in few if r["m_velocity"]), key=lambda r: (r["start_ts_ns"], r["row_group_id"]))
-        return (hit if limit is None else hit[:limit]), n
+        hit = sorted((r.asDict() for r in few if r["m_velocity"]), key=_order)
+        return (hit if limit is None else hit[:limit]), _pruned(n)
     counted = select.with_stage_counts(rows).where("m_velocity").select(*_ROW, *_COUNTS)
     got = [r.asDict() for r in select.top_row_groups(counted, limit).collect()]
     counts = {c: got[0][c] for c in _COUNTS} if got else select.stage_counts(rows).collect()[0].asDict()
@@ -123,8 +191,8 @@ def explain(
     spark = session(spark)
     cats = Catalogs.of(spark, catalog, catalog_db, None, None)
     began = time.perf_counter()
-    rows = candidates(cats, parse(predicate), robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity)
-    counts = select.stage_counts(rows).collect()[0].asDict()
+    asked = (parse(predicate), robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity)
+    counts = found(cats, *asked, 0)[1] if "pose" in cats.hot else select.stage_counts(candidates(cats, *asked)).collect()[0].asDict()
     return {"index_strategy": cats.strategy, "catalog_query_ms": (time.perf_counter() - began) * 1000, **counts}
 
 
@@ -174,11 +242,15 @@ def _spans(kind: str, rows: list[dict], uri: str | None = None) -> tuple[RowGrou
     return tuple(sorted(out, key=lambda s: (s.file_uri, s.row_group_id)))
 
 
-def _related(spark: SparkSession, windows: list[dict], catalog: DataFrame | None, extra=None) -> dict[int, list[dict]]:
-    """Row groups of another catalog for every window, from one join."""
+def _related(spark: SparkSession, windows: list[dict], catalog: DataFrame | None, table: hot.HotTable | None = None, pairs=None) -> dict[int, list[dict]]:
+    """Row groups of another catalog for every window (of the given (modality, stream) pairs only, if any are given), from
+    memory or from one join."""
     found: dict[int, list[dict]] = {w["window_id"]: [] for w in windows}
     if catalog is None or not windows:
         return found
+    if table is not None:
+        found = hot.related(table, windows, pairs)
+        return {k: sorted(rows, key=_related_order) for k, rows in found.items()}
     df = spark.createDataFrame(
         [(w["window_id"], w["robot_id"], w["session_id"], w["start"], w["end"]) for w in windows],
         "window_id int, w_robot string, w_session string, window_start_ns long, window_end_ns long",
@@ -189,16 +261,20 @@ def _related(spark: SparkSession, windows: list[dict], catalog: DataFrame | None
     who = (F.col("w_robot") == F.col("r.robot_id")) & (F.col("w_session") == F.col("r.session_id")) if keyed else same("w_robot", "r.robot_id") & same("w_session", "r.session_id")
     on = who & (F.col("r.end_ts_ns") >= F.col("w.window_start_ns")) & (F.col("r.start_ts_ns") <= F.col("w.window_end_ns"))
     got = r.join(F.broadcast(w), on)  # as many rows as there are windows, which were collected
-    if extra is not None:
-        got = got.where(extra)
+    if pairs is not None:
+        got = got.where(select.channel_match(pairs))
     for row in got.select("window_id", "r.*").collect():
         d = row.asDict()
         found[d.pop("window_id")].append(d)
     for rows in found.values():
-        rows.sort(key=lambda d: (d.get("modality") or "", d.get("stream_id") or "", d["start_ts_ns"], d["row_group_id"]))
+        rows.sort(key=_related_order)
     return found
 
 
+def _related_order(r: dict) -> tuple:
+    return r.get("modality") or "", r.get("stream_id") or "", *_order(r)
+
+
 def _prepare(gap_policy, catalog, catalog_db, imu_catalog, media_catalog, channels, predicate, spark):
     if gap_policy not in ("reject", "allow"):
         raise ValueError("gap_policy must be 'reject' or 'allow'")
@@ -220,9 +296,9 @@ def _window_plans(spark, cats, groups, pred, counts, ms, start, end, needs_imu,
     for i, rows in enumerate(groups):
         lo, hi = _bounds(rows, start, end, pred)
         windows.append({"window_id": i, "rows": rows, "start": lo, "end": hi, "robot_id": one(rows, "robot_id", robot_id), "session_id": one(rows, "session_id", session_id)})
-    imu = _related(spark, windows, cats.imu)
+    imu = _related(spark, windows, cats.imu, cats.hot.get("imu"))
     pairs = [tuple(c.split(":", 1)) for c in media]
-    frames = _related(spark, windows, cats.media if media else None, select.channel_match(pairs) if media else None)
+    frames = _related(spark, windows, cats.media if media else None, cats.hot.get("media"), pairs)
     plans = []
     for w in windows:
         rows, imu_rows, media_rows = w["rows"], imu[w["window_id"]], frames[w["window_id"]]
@@ -297,7 +373,7 @@ def plan(
     spark = session(spark)
     cats, pred, needs_imu, media = _prepare(gap_policy, catalog, catalog_db, imu_catalog, media_catalog, channels, predicate, spark)
     began = time.perf_counter()
-    rows, counts = matched(candidates(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity), limit)
+    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit)
     ms = (time.perf_counter() - began) * 1000
     if not rows:
         raise LookupError("query matched no catalog row groups")
@@ -331,7 +407,7 @@ def plan_batch(
     spark = session(spark)
     cats, pred, needs_imu, media = _prepare(gap_policy, catalog, catalog_db, imu_catalog, media_catalog, channels, predicate, spark)
     began = time.perf_counter()
-    rows, counts = matched(candidates(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity), limit)
+    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit)
     ms = (time.perf_counter() - began) * 1000
     if not rows:
         raise LookupError("query matched no catalog row groups")

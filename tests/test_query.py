@@ -123,6 +123,89 @@ def test_batch_keeps_sessions_apart(spark, tmp_path):
     assert (tmp_path / "out/window_000_session_a/cam0/1000000000.png").read_bytes() == b"a-camera-frame-1"
     assert (tmp_path / "out/window_001_session_b/cam0/4000000000.png").exists()
     assert got.certificate.shape == (6, 6) and got.diagnostics.range_violations == 0
+    alone = [query(target_hz=2, materialize_media=True, media_out=str(tmp_path / "one"), enforce_ranges=True, channels=options["channels"], spark=spark,
+                   catalog=s["pose"], imu_catalog=s["imu"], media_catalog=s["camera"]) for s in (a, b)]
+    told = ("actual_cold_reads", "actual_cold_read_bytes", "actual_authorized_bytes", "footer_bytes")
+    for k in told:
+        each = [getattr(r.diagnostics, k) for r in alone]
+        assert [getattr(w.diagnostics, k) for w in got.windows] == each == [w.manifest[k] for w in got.windows] and min(each) > 0
+        assert getattr(got.diagnostics, k) == sum(each) == got.manifest["diagnostics"][k]
+    assert got.certificate.cold_read_bytes == sum(r.certificate.cold_read_bytes for r in alone)
+
+
+def test_shared_row_groups_count_once():
+    """Two windows of one file: each report has all its reads, the batch has every read once."""
+    from rowscout.plans.query import _Reader
+    from rowscout.plans.report import CorrectnessReport, RowGroupSpan, SeekPlan, combined
+
+    span = lambda g: RowGroupSpan("pose", "f", g, 0, 1, 100 * g, 100)
+    windows = [SeekPlan(0, 1, "f", tuple(map(span, groups)), (), (), 0, 0, 0, 0, 0, 0, False, 0, CorrectnessReport()) for groups in ((0, 1), (1, 2))]
+    reader = _Reader(None, True, 0)
+    reader.records["f"] = [{"offset": o, "length": n, "category": c} for o, n, c in ((900, 10, "footer"), (0, 50, "authorized"), (100, 60, "authorized"), (200, 70, "authorized"))]
+    totals = [reader.totals_of(w) for w in windows]
+    assert [(t.reads, t.bytes, t.footer_bytes, t.max_end) for t in totals] == [(3, 120, 10, 910), (3, 140, 10, 910)]
+    whole = combined([CorrectnessReport(**t.fields()) for t in totals], reader.totals())
+    assert (whole.actual_cold_reads, whole.actual_cold_read_bytes, whole.footer_bytes, whole.max_footer_read_end) == (4, 190, 10, 910)
+
+
+QUERIES = {
+    "tight": {"bbox": (-60, -58, -30, -28, -2, 4)},
+    "broad and fast": {"bbox": (-72, 0, -42, 0, -2, 4), "min_velocity": 6.0},
+    "times": {"start_ts_ns": 1_700_000_000_000_000_000, "end_ts_ns": 1_700_400_000_000_000_000},
+    "predicate": {"predicate": "velocity_magnitude > 8 AND ST_Intersects(position, bbox(-70,-10,-40,20,-2,4)) AND time_overlap(1700010800000000000,1703914400000000000)"},
+    "all robots": {"robot_id": None, "min_velocity": 11.5},
+    "one session": {"robot_id": None, "session_id": "session_000123"},
+    "nobody": {"robot_id": "nobody"},
+    "limit": {"limit": 3},
+}
+
+
+@pytest.mark.parametrize("strategy", ["hilbert", "tile"])
+def test_plans_from_memory_equal_sparks(spark, tmp_path, strategy):
+    from dataclasses import asdict
+
+    from rowscout.operators.catalog import fake_catalog, save
+    from rowscout.plans import planner
+
+    pose = fake_catalog(spark, 2000, 5)
+    save(str(tmp_path / "c"), pose, strategy=strategy)
+    for options in QUERIES.values():
+        options = {"robot_id": "humanoid_04", "seam_check": False, "max_egress_bytes": 1 << 60, "spark": spark} | options
+        told = []
+        for held in (True, False):
+            planner._KNOWN.clear()
+            if not held:  # the same catalog, but without a table in memory
+                planner.Catalogs.of(spark, None, str(tmp_path / "c"), None, None).hot.clear()
+            try:
+                p = plan_batch(catalog_db=str(tmp_path / "c"), **options)
+                told.append([asdict(w) for w in p.windows] + [asdict(p.diagnostics)])
+            except LookupError as e:
+                told.append(str(e))
+            assert bool(planner.Catalogs.of(spark, None, str(tmp_path / "c"), None, None).hot) == held
+        for found in told:
+            for w in found if isinstance(found, list) else ():
+                (w.get("diagnostics") or w)["catalog_query_ms"] = 0
+        assert told[0] == told[1]
+
+
+def test_held_catalogs_follow_their_files(spark, tmp_path):
+    from rowscout.operators.catalog import fake_catalog, save
+    from rowscout.plans import hot, planner
+
+    root = str(tmp_path / "c")
+    options = {"catalog_db": root, "seam_check": False, "max_egress_bytes": 1 << 60, "spark": spark}
+    save(root, fake_catalog(spark, 100, 4))
+    assert plan_batch(**options).diagnostics.candidate_row_groups == 100
+    first = planner.Catalogs.of(spark, None, root, None, None)
+    assert planner.Catalogs.of(spark, None, root, None, None) is first and set(first.hot) == {"pose", "imu", "media"}
+    save(root, fake_catalog(spark, 120, 4))
+    assert plan_batch(**options).diagnostics.candidate_row_groups == 120
+    assert hot.read(fake_catalog(spark, 10, 2)) is not None
+    most, hot.MOST_ROWS = hot.MOST_ROWS, 5
+    try:
+        assert hot.read(fake_catalog(spark, 10, 2)) is None  # larger catalogs stay with Spark
+    finally:
+        hot.MOST_ROWS = most
 
 
 def test_errors(spark, demo, tmp_path):
