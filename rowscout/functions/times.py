@@ -42,10 +42,15 @@ def scaled(column: Column, scale: float, integral: bool) -> Column:
     return F.round(column.cast("double") * F.lit(float(scale))).cast("long")
 
 
+#: What says a unit anywhere in a column's name, asked in this order; seconds also by a name that ends in _s.
+UNIT_MARKS = {"ns": ("ns", "nanosecond"), "us": ("us", "microsecond"), "ms": ("ms", "millisecond"), "s": ("seconds",)}
+
+
 def unit_of_name(name: str) -> str:
-    """Unit that a column name suggests, by the first of ns, us, ms and _s in it; ns if there is none."""
+    """Unit that a column name suggests by UNIT_MARKS; a name that says nothing is taken as nanoseconds."""
     low = name.lower()
-    return next((u for u, mark in (("ns", "ns"), ("us", "us"), ("ms", "ms"), ("s", "_s")) if mark in low), "ns")
+    said = [unit for unit, marks in UNIT_MARKS.items() if any(m in low for m in marks)]
+    return said[0] if said else "s" if low.endswith("_s") else "ns"
 
 
 def scale_of(options: dict, column: str = "") -> float:

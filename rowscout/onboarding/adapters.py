@@ -17,7 +17,7 @@ from ..sources import generic, robots
 from ..sources.store import list_objects
 from . import calibration
 from .ingest import Ingest
-from .mapping import FROM_FILENAME, channels_of, confidence, final_errors, load, modality_of_columns, modality_of_name, suggest, time_columns, time_hint, topic_of, validate
+from .mapping import FROM_FILENAME, channels_of, confidence, final_errors, load, modality_of_columns, modality_of_name, modality_of_topic, suggest, time_columns, time_hint, topic_of, validate
 from .records import DatasetFile, DatasetProfile, DatasetStream, IngestReport, ValidationReport
 
 ENTRY_POINTS = "rowscout.adapters"
@@ -161,8 +161,10 @@ class McapAdapter(DatasetAdapter):
                 topics.setdefault(topic, {"topic": topic, "encoding": encoding, "schema": schema, "n": 0})["n"] += 1
         streams = []
         for topic, found in topics.items():
-            pose = found["encoding"] in ("json", "ros1", "cdr") and ("pose" in found["schema"].lower() or modality_of_name(topic) == "pose" or found["schema"].rsplit("/", 1)[-1] in ("Odometry", "TransformStamped"))
-            modality = "pose" if pose else "media"
+            modality = modality_of_topic(topic, found["schema"])
+            pose = modality == "pose"
+            if pose and found["encoding"] not in ("json", "ros1", "cdr"):
+                pose, modality = False, "media"  # poses of other encodings can't be read
             streams.append(_stream(topic.strip("/").replace("/", "_") or "pose", modality, str(path), ("timestamp_ns", "log_time"), _named("pose") if pose else {}, row_count=found.pop("n"), discovery=found))
         entry = DatasetFile(str(path), "mcap", os.path.getsize(path), topics=tuple(topics), schema_names=tuple(sorted({t["schema"] for t in topics.values()})))
         return DatasetProfile(1, str(path), "mcap", (entry,), tuple(streams), () if streams else ("no messages",), self.adapter_id)
@@ -306,12 +308,23 @@ class GenericAdapter(DatasetAdapter):
         return make(generic.relation(job.spark, path), mapping, scale, job.robot_id, job.session_id)
 
 
+class MediaPlaceholderAdapter(GenericAdapter):
+    """Asked for by name only: every stream is media of unknown form, to be mapped by hand later."""
+
+    adapter_id = "generic_media_placeholder"
+
+    def inspect(self, path: str, spark: SparkSession | None = None) -> DatasetProfile:
+        found = super().inspect(path, spark)
+        streams = tuple(replace(s, modality="media", channels={}, confidence=confidence("media", s.timestamp_candidates, {})) for s in found.streams)
+        return replace(found, streams=streams)
+
+
 class AdapterRegistry:
     """Adapters in order; the first that can inspect a path is chosen."""
 
     def __init__(self, *, load_entry_points: bool = True):
         self.adapters: dict[str, DatasetAdapter] = {}
-        for kind in (EurocAdapter, ParquetAdapter, McapAdapter, KittiAdapter, NuscenesAdapter, GenericAdapter):
+        for kind in (EurocAdapter, ParquetAdapter, McapAdapter, KittiAdapter, NuscenesAdapter, GenericAdapter, MediaPlaceholderAdapter):
             self.register(kind())
         if load_entry_points:
             from importlib.metadata import entry_points

@@ -200,7 +200,8 @@ def decode_ros1(schema: str, data: bytes) -> tuple:
 
 
 def decode_cdr(schema: str, data: bytes) -> tuple:
-    """The same of a ROS 2 message in little-endian CDR; numbers are aligned from the payload's first byte."""
+    """The same of a ROS 2 message in little-endian CDR; numbers are aligned from the first byte after the four bytes of
+    the encapsulation header, as the format's specification has it and writers of ROS 2 do."""
     if len(data) < 4 or data[1] not in (1, 3):
         raise ValueError("only little-endian CDR can be read")
     kind = schema.rsplit("/", 1)[-1]

@@ -1,8 +1,8 @@
 """Incremental catalogs: pose samples that arrive as a stream, indexed window by window (an extension of ours).
 
 Samples are watermarked by event time and grouped by robot, session and a tumbling window; each closed window is a
-virtual row group with the catalog's statistics. Only built-in streaming aggregates are used, so state is a few numbers
-for each open window, except for the times that gap metadata needs, which are kept for open windows alone.
+virtual row group with the catalog's statistics. Only built-in streaming aggregates are used. State holds a few numbers
+and, for gap metadata, every sample time (8 bytes) of the open windows: their length times the rate, for each session.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from ..operators.gaps import GAP_FACTOR
 def stream_catalog(poses: DataFrame, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """A row for each robot, session and window of the stream of managed pose rows, once the watermark has passed it.
 
-    Rows later than `late` behind the newest are dropped, as watermarks do. Times are exact BIGINT nanoseconds; the
+    Rows must arrive within `late` of the newest before them; later ones are dropped, as watermarks do, and counted (see
+    late_rows). Files of a backlog should be read in the order of their times: a file source takes them by modification
+    time, so one that is late by more than `late` loses rows. Times are exact BIGINT nanoseconds; the
     event time in microseconds only decides on the window.
     """
     timed = poses.withColumn("event_time", F.timestamp_micros(F.expr("timestamp_ns div 1000"))).withWatermark("event_time", late)
@@ -37,3 +39,8 @@ def stream_catalog(poses: DataFrame, window: str = "1 minute", late: str = "2 mi
     limit = F.greatest(F.lit(1), GAP_FACTOR * F.col("nominal_dt_ns"))
     gaps = F.filter("_d", lambda d: d > limit)
     return out.withColumn("gap_count", F.size(gaps).cast("long")).withColumn("max_gap_ns", F.coalesce(F.array_max(gaps), F.lit(0)).cast("long")).drop("_t", "_d", "window")
+
+
+def late_rows(query) -> int:
+    """How many rows a streaming query has dropped because they came behind the watermark, by the progress it still keeps."""
+    return sum(int(state.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for state in p["stateOperators"])

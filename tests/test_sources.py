@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowscout.onboarding import mapping
 from rowscout.onboarding.adapters import (
     DatasetAdapter,
     get_adapter,
@@ -126,6 +127,17 @@ def test_mcap(spark, tmp_path, chunked):
     assert (rows[-1].timestamp_ns, rows[-1].velocity, rows[0].velocity) == (9 * 10**9 + 5, 5.0, 0.0)
 
 
+def test_cdr_of_other_writers():
+    """Bytes put down by hand: numbers are aligned after the header of four bytes, so 17 bytes of stamp and name are
+    filled up to 24."""
+    head = bytes.fromhex("00010000" "05000000" "07000000" "05000000") + b"odom\0" + bytes(7)
+    numbers = bytes.fromhex("000000000000f03f" "0000000000000040" "0000000000000840" + "0000000000000000" * 3 + "000000000000f03f")
+    assert len(head) == 4 + 24
+    assert mcap.decode_cdr("geometry_msgs/msg/PoseStamped", head + numbers) == (5 * 10**9 + 7, 1.0, 2.0, 3.0, 1.0, 0.0, 0.0, 0.0, None, None, None)
+    with pytest.raises(ValueError, match="little-endian"):
+        mcap.decode_cdr("x", b"\0\0\0\0")
+
+
 def test_mcap_without_a_number_fails(spark, tmp_path):
     path = str(tmp_path / "b.mcap")
     mcap.write_mcap(path, [("/pose", "json", "s", 1, b'{"x": 1}')])
@@ -144,29 +156,32 @@ def test_generic_velocity_and_time_scale(spark, tmp_path):
     assert sorted(r.timestamp_ns for r in imu.collect()) == [10**9, 1001 * 10**6]
 
 
+POSE = dict(zip(("x", "y", "z", "qw", "qx", "qy", "qz", "vx", "vy", "vz"), ("lane", "row_m", "shelf", "o0", "o1", "o2", "o3", "go_a", "go_b", "go_c"), strict=True))
+IMU = dict(zip(("ax", "ay", "az", "gx", "gy", "gz"), ("f1", "f2", "f3", "r1", "r2", "r3"), strict=True))
+
+
 def messy(root):
+    """24 rows at 10 Hz in a clock of nanoseconds whose name says so, under names that no alias has."""
     root.mkdir()
-    head = "robot_clock_ns,north_m,east_m,up_m,att_w,att_i,att_j,att_k,speed_n_mps,speed_e_mps,speed_u_mps,battery_v,operator_note\n"
     rows = range(24)
     times = [10**9 + i * 10**8 for i in rows]
-    (root / "customer_export_42.csv").write_text(head + "".join(f"{t},{i * 0.2:.3f},0.05,0.1,1,0,0,0,2.0,0.5,0,24.1,ok\n" for i, t in zip(rows, times, strict=True)))
-    head = "robot_clock_ns,linacc_right,linacc_forward,linacc_up,gyro_rollish,gyro_pitchish,gyro_yawish,temp_c\n"
-    (root / "imu_vendor_dump.csv").write_text(head + "".join(f"{t},{0.01 * i:.4f},0.02,9.81,{0.001 * i:.4f},0.002,0.003,32\n" for i, t in zip(rows, times, strict=True)))
-    (root / "front_cam_frames").mkdir()
+    lines = [f"{t},{i * 0.2:.3f},0.5,0.0,1,0,0,0,2.0,0,0,ok" for i, t in zip(rows, times, strict=True)]
+    (root / "aisle.csv").write_text("\n".join([",".join(["clock_ns", *POSE.values(), "state"]), *lines]) + "\n")
+    lines = [f"{t},0.1,0.2,9.8,{0.001 * i:.4f},0,0,7" for i, t in zip(rows, times, strict=True)]
+    (root / "shake.csv").write_text("\n".join([",".join(["clock_ns", *IMU.values(), "slot"]), *lines]) + "\n")
+    (root / "mast_images").mkdir()
     for t in times[::4]:
-        (root / f"front_cam_frames/front_{t}_frame.png").write_bytes(b"\x89PNG")
+        (root / f"mast_images/m{t}.png").write_bytes(b"\x89PNG")
     return str(root)
 
 
 def final_messy(profile):
     m = suggest_manifest(profile, dataset_id="d", robot_id="r", session_id="s")
-    pose = dict(zip(("x", "y", "z", "qw", "qx", "qy", "qz", "vx", "vy", "vz"), ("north_m", "east_m", "up_m", "att_w", "att_i", "att_j", "att_k", "speed_n_mps", "speed_e_mps", "speed_u_mps"), strict=True))
-    imu = dict(zip(("ax", "ay", "az", "gx", "gy", "gz"), ("linacc_right", "linacc_forward", "linacc_up", "gyro_rollish", "gyro_pitchish", "gyro_yawish"), strict=True))
     for s in m["streams"]:
-        kind = {"customer_export_42": "pose", "imu_vendor_dump": "imu"}.get(s["stream_id"], "camera")
+        kind = {"aisle": "pose", "shake": "imu"}.get(s["stream_id"], "camera")
         s |= {"modality": kind, "type": kind, "mapping_status": "final"}
         if kind != "camera":
-            s |= {"timestamp": "robot_clock_ns", "timestamp_unit": "ns", "channels": pose if kind == "pose" else imu}
+            s |= {"timestamp": "clock_ns", "timestamp_unit": "ns", "channels": POSE if kind == "pose" else IMU}
     return m | {"mapping_status": "final"}
 
 
@@ -196,11 +211,11 @@ def test_failed_ingest_leaves_nothing(spark, tmp_path):
     pose["channels"]["x"] = "nowhere"
     with pytest.raises(ValueError, match="nowhere"):
         ingest_manifest(broken, output_root=tmp_path / "out", spark=spark)
-    pose["channels"]["x"] = "north_m"
-    pose["timestamp"] = "operator_note"
+    pose["channels"]["x"] = "lane"
+    pose["timestamp"] = "state"
     with pytest.raises(ValueError, match="no numbers"):
         ingest_manifest(broken, output_root=tmp_path / "out", spark=spark)
-    (tmp_path / "raw/front_cam_frames/frame.png").write_bytes(b"x")
+    (tmp_path / "raw/mast_images/frame.png").write_bytes(b"x")
     with pytest.raises(ValueError, match="frame.png"):
         ingest_manifest(good, output_root=tmp_path / "out", spark=spark)
     assert not (tmp_path / "out").exists() and not [p for p in os.listdir(tmp_path) if ".tmp-" in p]
@@ -229,7 +244,12 @@ def test_manifest_mutations(spark, tmp_path):
 
 
 def test_registry_and_plugins(spark, tmp_path):
-    assert [a["adapter_id"] for a in list_adapters()][-1] == "generic_dataset"
+    assert [a["adapter_id"] for a in list_adapters()][-2:] == ["generic_dataset", "generic_media_placeholder"]
+    held = inspect_dataset(messy(tmp_path / "held"), adapter_id="generic_media_placeholder", spark=spark)
+    assert {s.modality for s in held.streams} == {"media"} and held.adapter_id == "generic_media_placeholder"
+    assert mapping.modality_of_topic("/odom", "nav_msgs/msg/Odometry") == "pose" and mapping.modality_of_topic("/cam0", "sensor_msgs/CompressedImage") == "camera"
+    assert mapping.modality_of_topic("/imu/data", "sensor_msgs/Imu") == "imu" and [mapping.modality_of_name(n) for n in ("rgb_left", "ego.csv", "depth", "x")] == ["camera", "pose", "camera", "media"]
+    assert mapping.time_columns(["x", "t", "log_time_ns", "t_ms"]) == ("t", "log_time_ns", "t_ms")
     with pytest.raises(KeyError, match="euroc"):
         get_adapter("nothing")
 
