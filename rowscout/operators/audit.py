@@ -142,8 +142,10 @@ def range_reads(rows: DataFrame) -> DataFrame:
 
 
 def read_range(path: str, offset: int, length: int) -> bytes:
-    """Bytes of a local file; a read beyond its end gives what there is."""
-    with open(path, "rb") as f:
+    """Bytes of a local file, or of one in a store that pyarrow opens by URI; a read beyond its end gives what there is."""
+    from ..sources.rowgroups import open_raw
+
+    with open_raw(path)[0] as f:
         f.seek(offset)
         return f.read(length)
 

@@ -1,7 +1,8 @@
 """Row-group catalogs: what a query needs to know of each row group without reading it.
 
-Rows come from Parquet footers (bytes exactly as stored) or from samples that carry a row-group number. Footers are
-read where the file system is local to Python; on other stores `from_samples` gives the same rows but for bytes.
+Rows come from Parquet footers (bytes exactly as stored) or from samples that carry a row-group number. Footers are read
+from local paths and from every store that pyarrow opens by URI; elsewhere `from_samples` gives the same rows but for
+bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.spatial import hilbert, hilbert_range, quantize, tile
 from ..functions.times import hour_bucket
 from ..schemas import IMU_CATALOG_SCHEMA, MEDIA_CATALOG_SCHEMA, POSE_CATALOG_SCHEMA, typed
+from ..sources.rowgroups import open_raw
 from .gaps import gap_metadata
 
 POSE_RANGES = ("x", "y", "z", "velocity")
@@ -38,7 +40,12 @@ def footer_rows(path: str, ranges: Sequence[str]) -> list[dict]:
     """Row groups of a file from its footer alone: byte span over all columns, row count, and statistics."""
     import pyarrow.parquet as pq
 
-    file = pq.ParquetFile(path)
+    raw, _ = open_raw(path)
+    with raw:
+        return _footer_rows(pq.ParquetFile(raw), path, ranges)
+
+
+def _footer_rows(file, path: str, ranges: Sequence[str]) -> list[dict]:
     names = file.schema_arrow.names
     out = []
     for g in range(file.metadata.num_row_groups):
@@ -102,8 +109,9 @@ def index_files(spark: SparkSession, files: Sequence[str], kind: str, uri: str |
 
         for batch in batches:
             for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = footer_rows(path, ranges)
-                file = pq.ParquetFile(path)
+                raw, _ = open_raw(path)
+                file = pq.ParquetFile(raw)
+                rows = _footer_rows(file, path, ranges)
                 for row in rows:
                     row["file_uri"] = name
                     if kind == "camera":
@@ -120,6 +128,7 @@ def index_files(spark: SparkSession, files: Sequence[str], kind: str, uri: str |
                 names = [f.name for f in schema]
                 from pyspark.sql.pandas.types import to_arrow_schema
 
+                raw.close()
                 yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=to_arrow_schema(schema))
 
     listed = spark.createDataFrame([(f, uri if uri and len(files) == 1 else f) for f in files], "path string, uri string")

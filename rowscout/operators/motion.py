@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.motion import quat_dot
+from ..functions.motion import quat_dot, quat_norm
 
 KEYS = ("robot_id", "session_id")
 NS = 1e9
@@ -51,8 +51,21 @@ def time_violations(samples: DataFrame, keys: Sequence[str] = KEYS, order: Seque
     return marked.groupBy(*keys).agg(F.count_if(F.col("_p").isNotNull() & (F.col("timestamp_ns") <= F.col("_p"))).alias("violations"))
 
 
-def quaternion_inversions(samples: DataFrame, quat: Sequence[str] = ("qw", "qx", "qy", "qz"), keys: Sequence[str] = KEYS, order: Sequence[str] = ("timestamp_ns",)) -> DataFrame:
-    """keys, inversions: neighbours whose quaternions point into opposite halves."""
+def quaternion_inversions(samples: DataFrame, quat: Sequence[str] = ("qw", "qx", "qy", "qz"), keys: Sequence[str] = KEYS, order: Sequence[str] = ("timestamp_ns",), digits: int | None = None) -> DataFrame:
+    """keys, inversions: neighbours whose quaternions point into opposite halves; digits: products are rounded first."""
     w = _window(keys, order)
     dot = quat_dot([F.lag(c).over(w) for c in quat], [F.col(c) for c in quat])
-    return samples.withColumn("_d", dot).groupBy(*keys).agg(F.count_if(F.col("_d") < 0).alias("inversions"))
+    return samples.withColumn("_d", dot if digits is None else F.round(dot, digits)).groupBy(*keys).agg(F.count_if(F.col("_d") < 0).alias("inversions"))
+
+
+def norm_errors(samples: DataFrame, keys: Sequence[str], quat: Sequence[str] = ("qw", "qx", "qy", "qz"), tolerance: float = 1e-3) -> DataFrame:
+    """keys, off_norm: quaternions whose norm is off by more than the tolerance; worst: the largest error."""
+    error = F.abs(quat_norm([F.col(c) for c in quat]) - 1)
+    return samples.groupBy(*keys).agg(F.count_if(error > tolerance).alias("off_norm"), F.max(error).alias("worst"))
+
+
+def speed_errors(samples: DataFrame, keys: Sequence[str], max_velocity: float, speed: str = "velocity") -> DataFrame:
+    """keys, max_velocity, too_fast: samples above the limit; not_finite: those whose speed is no finite number."""
+    v = F.col(speed)
+    bad = F.isnan(v) | (F.abs(v) == float("inf"))
+    return samples.groupBy(*keys).agg(F.max(v).alias("max_velocity"), F.count_if(v > max_velocity).alias("too_fast"), F.count_if(bad).alias("not_finite"))

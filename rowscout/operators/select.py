@@ -109,7 +109,8 @@ def channel_match(channels: Sequence[tuple[str, str]], alias: str = "r") -> Colu
 
 
 def top_row_groups(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    ordered = rows.orderBy("start_ts_ns", "row_group_id")
+    """Row groups by time and number, and of equal ones by robot and session."""
+    ordered = rows.orderBy("start_ts_ns", "row_group_id", "robot_id", "session_id")
     return ordered if limit is None else ordered.limit(limit)
 
 

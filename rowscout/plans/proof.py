@@ -14,17 +14,33 @@ from ..operators.select import common_window
 from .planner import plan_batch, session
 
 
+def common_rows(pose: DataFrame, *others: DataFrame) -> DataFrame:
+    """Row groups of pose with the time that all the other catalogs cover, in _s and _e."""
+    span = common_window(*others).select(F.col("start_ts_ns").alias("_s"), F.col("end_ts_ns").alias("_e"))  # one row
+    return pose.crossJoin(F.broadcast(span))
+
+
+def middle_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The middle row group of each group by time: of n the one at place ceil(n / 2)."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy("start_ts_ns", "row_group_id")), "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_i") == F.ceil(F.col("_n") / 2)).drop("_i", "_n")
+
+
+def middle_row(rows: DataFrame):
+    """The middle row group of all, without ranking them in one task: its start is an exact median, and only row groups of
+    that start are put in order. None of an empty table."""
+    told = rows.agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by start_ts_ns)").alias("start")).first()
+    if not told["n"]:
+        return None
+    place = -(-told["n"] // 2) - rows.where(F.col("start_ts_ns") < told["start"]).count()
+    return rows.where(F.col("start_ts_ns") == told["start"]).orderBy("row_group_id", "robot_id", "session_id").limit(place).tail(1)[0]
+
+
 def choose_query(pose: DataFrame, *others: DataFrame, pad: float = 1.0) -> dict[str, object]:
     """Arguments of plan() that the middle row group of the time that all catalogs cover must match: its window, its box
     with a margin, and half its top speed."""
-    span = common_window(pose, *others)
-    inside = pose.crossJoin(F.broadcast(span.select(F.col("start_ts_ns").alias("_s"), F.col("end_ts_ns").alias("_e"))))
-    inside = inside.where((F.col("end_ts_ns") >= F.col("_s")) & (F.col("start_ts_ns") <= F.col("_e")))
-    # ranks need one order over the few row groups of the common window
-    keyed = inside.withColumn("_one", F.lit(1))
-    w = Window.partitionBy("_one")
-    keyed = keyed.withColumns({"_i": F.row_number().over(w.orderBy("start_ts_ns", "row_group_id")), "_n": F.count("*").over(w)})
-    row = keyed.where(F.col("_i") == F.ceil(F.col("_n") / 2)).first()
+    row = middle_row(common_rows(pose, pose, *others).where((F.col("end_ts_ns") >= F.col("_s")) & (F.col("start_ts_ns") <= F.col("_e"))))
     if row is None:
         raise LookupError("the catalogs share no time")
     box = tuple(v for a in "xyz" for v in (row[f"min_{a}"] - pad, row[f"max_{a}"] + pad))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import views as V
 from .functions import spatial, times
-from .functions.motion import axis_angle, mercator, quat_dot, quat_norm, rpy_to_quat, with_slerp
+from .functions.motion import axis_angle, mercator, rpy_to_quat, with_slerp
 from .operators import audit, catalog, gaps, motion, resample, select
+from .plans.planner import plan_batch
 from .plans.predicate import parse
+from .plans.proof import choose_query, common_rows, middle_rows
+from .plans.report import CorrectnessReport, combined
+from .sources.generic import no_number
 from .sources.synthetic import synthetic_pose
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,9 +207,9 @@ def staged_explain(spark, sf):
     return select.stage_counts(rows)
 
 
-@query("select session_id, row_group_id, start_ts_ns, end_ts_ns, byte_length from rg_pose order by start_ts_ns, row_group_id, session_id limit 50")
+@query("select session_id, row_group_id, start_ts_ns, end_ts_ns, byte_length from rg_pose order by start_ts_ns, row_group_id, robot_id, session_id limit 50")
 def top_row_groups(spark, sf):
-    return V.rg_pose(spark, sf).orderBy("start_ts_ns", "row_group_id", "session_id").limit(50).select(*_IDS)
+    return select.top_row_groups(V.rg_pose(spark, sf), 50).select(*_IDS)
 
 
 _WINDOWS = f"""
@@ -354,24 +358,17 @@ def quaternion_slerp(spark, sf):
     select session_id, count(*) filter (round(d, 9) < 0) as inversions from d group by all
 """)
 def quaternion_inversions(spark, sf):
-    p = V.pose_raw(spark, sf)
-    w = Window.partitionBy(*KEYS).orderBy("timestamp_ns", "event_id")
-    q = [F.col(c) for c in ("qw", "qx", "qy", "qz")]
-    d = p.withColumn("d", F.round(quat_dot([F.lag(c).over(w) for c in q], q), 9))
-    return d.groupBy("session_id").agg(F.count_if(F.col("d") < 0).alias("inversions"))
+    return motion.quaternion_inversions(V.pose_raw(spark, sf), order=("timestamp_ns", "event_id"), digits=9).drop("robot_id")
 
 
 @query("select session_id, count(*) filter (abs(sqrt(qw*qw + qx*qx + qy*qy + qz*qz) - 1) > 0.001) as off_norm, round(max(abs(sqrt(qw*qw + qx*qx + qy*qy + qz*qz) - 1)), 6) as worst from pose_raw group by all")
 def trust_quaternion_norm(spark, sf):
-    err = F.abs(quat_norm([F.col(c) for c in ("qw", "qx", "qy", "qz")]) - 1)
-    return V.pose_raw(spark, sf).groupBy("session_id").agg(F.count_if(err > 1e-3).alias("off_norm"), F.round(F.max(err), 6).alias("worst"))
+    return motion.norm_errors(V.pose_raw(spark, sf), ["session_id"]).withColumn("worst", F.round("worst", 6))
 
 
 @query("select session_id, max(velocity) as max_velocity, count(*) filter (velocity > 0.1) as too_fast, count(*) filter (isnan(velocity) or isinf(velocity)) as not_finite from pose_s group by all")
 def trust_max_velocity(spark, sf):
-    v = F.col("velocity")
-    bad = F.isnan(v) | (F.abs(v) == float("inf"))
-    return V.pose_s(spark, sf).groupBy("session_id").agg(F.max(v).alias("max_velocity"), F.count_if(v > 0.1).alias("too_fast"), F.count_if(bad).alias("not_finite"))
+    return motion.speed_errors(V.pose_s(spark, sf), ["session_id"], 0.1)
 
 
 _GRID = """
@@ -474,14 +471,12 @@ ORACLE_SQL["synthetic_pose_rows"] = ORACLE_SQL["synthetic_pose_rows"].replace("i
 
 
 @query("""
-    , a as (select session_id, row_group_id, byte_length from rg_pose where session_id = 'session_1'),
-    b as (select session_id, row_group_id, byte_length from rg_pose where session_id = 'session_2')
-    select * from a union all select * from b union all select * from b
+    , a as (select session_id, row_group_id, byte_length from rg_pose), b as (select session_id, row_group_id, byte_length from rg_imu)
+    select * from a union all select * from b union all select * from a
 """)
 def union_catalogs(spark, sf):
-    rows = V.rg_pose(spark, sf).select("session_id", "row_group_id", "byte_length")
-    a, b = (rows.where(F.col("session_id") == f"session_{k}") for k in (1, 2))
-    return a.unionByName(b).unionByName(b)
+    a, b = (rows.select("session_id", "row_group_id", "byte_length") for rows in (V.rg_pose(spark, sf), V.rg_imu(spark, sf)))
+    return a.unionByName(b).unionByName(a)
 
 
 @query("select robot_id, count(distinct file_uri) as files, min(file_uri) as first_uri from rg_pose group by all")
@@ -503,12 +498,62 @@ def common_window(spark, sf):
     select session_id, row_group_id, min_x, max_x, min_velocity from n where i = ceil(n / 2.0)::bigint
 """)
 def representative_window(spark, sf):
-    common = V.rg_imu(spark, sf).agg(F.min("start_ts_ns").alias("s"), F.max("end_ts_ns").alias("e"))
-    rows = V.rg_pose(spark, sf).crossJoin(F.broadcast(common)).where("start_ts_ns >= s and end_ts_ns <= e")
-    w = Window.partitionBy(*KEYS)
-    rows = rows.withColumns({"i": F.row_number().over(w.orderBy("start_ts_ns", "row_group_id")), "n": F.count("*").over(w)})
-    middle = rows.where(F.col("i") == F.ceil(F.col("n") / 2))
-    return middle.select("session_id", "row_group_id", (F.col("min_x") - 1).alias("min_x"), (F.col("max_x") + 1).alias("max_x"), (F.col("max_velocity") / 2).alias("min_velocity"))
+    rows = common_rows(V.rg_pose(spark, sf), V.rg_imu(spark, sf)).where("start_ts_ns >= _s and end_ts_ns <= _e")
+    return middle_rows(rows, KEYS).select("session_id", "row_group_id", (F.col("min_x") - 1).alias("min_x"), (F.col("max_x") + 1).alias("max_x"), (F.col("max_velocity") / 2).alias("min_velocity"))
+
+
+@query("""
+    , c as (select greatest(a.s, b.s) as s, least(a.e, b.e) as e from (select min(start_ts_ns) as s, max(end_ts_ns) as e from rg_pose) a,
+        (select min(start_ts_ns) as s, max(end_ts_ns) as e from rg_imu) b),
+    n as (select p.*, s, e, row_number() over (order by start_ts_ns, row_group_id, robot_id, session_id) as i, count(*) over () as n
+        from rg_pose p, c where p.end_ts_ns >= s and p.start_ts_ns <= e)
+    select robot_id, session_id, greatest(start_ts_ns, s) as start_ts_ns, least(end_ts_ns, e) as end_ts_ns, min_x - 1 as min_x, max_x + 1 as max_x,
+        min_z - 1 as min_z, max_z + 1 as max_z, max_velocity / 2 as min_velocity from n where i = ceil(n / 2.0)::bigint
+""")
+def proof_query(spark, sf):
+    """The arguments that plans.proof.choose_query takes from the catalogs."""
+    got = choose_query(V.rg_pose(spark, sf), V.rg_imu(spark, sf))
+    x, z = got["bbox"][:2], got["bbox"][4:]
+    row = (got["robot_id"], got["session_id"], got["start_ts_ns"], got["end_ts_ns"], *x, *z, got["min_velocity"])
+    return spark.createDataFrame([row], "robot_id string, session_id string, start_ts_ns long, end_ts_ns long, min_x double, max_x double, min_z double, max_z double, min_velocity double")
+
+
+@query(_WINDOWS + """
+    , imu as (select w.session_id, count(*) as n, sum(r.byte_length)::bigint as b from win w join rg_imu r on w.robot_id = r.robot_id
+        and w.session_id = r.session_id and r.end_ts_ns >= window_start_ns and r.start_ts_ns <= window_end_ns group by all)
+    select count(*) as windows, sum(row_groups)::bigint as pose_row_groups, sum(n)::bigint as imu_row_groups, sum(selected_bytes)::bigint as pose_bytes,
+        sum(b)::bigint as imu_bytes, min(window_start_ns) as first_start_ns, max(window_end_ns) as last_end_ns, sum(selected_bytes) + sum(b) > 100000 as blocked,
+        (select count(*) from rg_pose) as candidates, (select count(*) from rg_pose) - sum(row_groups)::bigint as time_pruned
+    from win join imu using (session_id)
+""")
+def plan_batch_totals(spark, sf):
+    """The planner over the catalogs: a window for each session, its inertial row groups, and the batch's combined report."""
+    p = plan_batch(
+        catalog=V.rg_pose(spark, sf), imu_catalog=V.rg_imu(spark, sf), start_ts_ns=START, end_ts_ns=END, channels=("pos_xyz", "imu_accel"),
+        gap_policy="allow", max_egress_bytes=100_000, spark=spark,
+    )
+    d = p.diagnostics
+    row = (len(p.windows), d.pose_matched_row_groups, d.imu_matched_row_groups, p.authorized_pose_bytes, p.authorized_imu_bytes, min(w.start_ts_ns for w in p.windows),
+           max(w.end_ts_ns for w in p.windows), p.blocked_by_egress, d.candidate_row_groups, d.time_pruned_row_groups)
+    return spark.createDataFrame([row], "windows long, pose_row_groups long, imu_row_groups long, pose_bytes long, imu_bytes long, first_start_ns long, last_end_ns long, blocked boolean, candidates long, time_pruned long")
+
+
+@query(_WINDOWS + """
+    , r as (select *, window_end_ns - window_start_ns as span from win where window_start_ns <= window_end_ns)
+    select sum(row_groups)::bigint as matched, sum(selected_bytes)::bigint as bytes, max(span) as pose_max_gap_ns, arg_max(window_start_ns, span::hugeint * 10000000000000000000 - window_start_ns) as max_gap_start,
+        arg_max(window_end_ns, span::hugeint * 10000000000000000000 - window_start_ns) as max_gap_end, bool_or(row_groups > 3) as blocked, bool_and(row_groups > 0) as enforced from r
+""")
+def batch_report(spark, sf):
+    """report.combined over a report for each window: sums, greatest values with their places, any and all."""
+    rows = _windows(spark, sf).orderBy(F.desc(F.col("window_end_ns") - F.col("window_start_ns")), "window_start_ns").collect()  # a row for each window of the plan
+    reports = [
+        CorrectnessReport(pose_max_gap_ns=r["window_end_ns"] - r["window_start_ns"], pose_max_gap_start_ts_ns=r["window_start_ns"], pose_max_gap_end_ts_ns=r["window_end_ns"],
+                          matched_row_groups=r["row_groups"], selected_bytes=r["selected_bytes"], blocked_by_egress=r["row_groups"] > 3, range_enforced=r["row_groups"] > 0)
+        for r in rows
+    ]
+    c = combined(reports)
+    row = (c.matched_row_groups, c.selected_bytes, c.pose_max_gap_ns, c.pose_max_gap_start_ts_ns, c.pose_max_gap_end_ts_ns, c.blocked_by_egress, c.range_enforced)
+    return spark.createDataFrame([row], "matched long, bytes long, pose_max_gap_ns long, max_gap_start long, max_gap_end long, blocked boolean, enforced boolean")
 
 
 @query("select min(v) as threshold, count(*) as sessions from (select session_id, max(max_velocity) as v from rg_pose group by all)")
@@ -534,7 +579,7 @@ def timestamp_scale(spark, sf):
 @query("select event_type, count(*) filter (try_cast(case when event_id % 3 = 0 then event_type else value::varchar end as double) is null) as bad from events group by all", plain=True)
 def try_cast_preflight(spark, sf):
     text = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("value").cast("string"))
-    return V.table(spark, sf, "events").groupBy("event_type").agg(F.count_if(text.try_cast("double").isNull()).alias("bad"))
+    return V.table(spark, sf, "events").groupBy("event_type").agg(F.count_if(no_number(text)).alias("bad"))
 
 
 @query("""
@@ -618,8 +663,8 @@ def range_audit_classify(spark, sf):
 
 
 @query(
-    """with q as (select o_orderkey % 40 as file_id, o_custkey % 30 as row_group_id, count(*) as asked from orders where o_orderkey % 3 = 0 and o_orderkey < 4000 group by all),
-    s as (select o_orderkey % 40 as file_id, o_custkey % 30 as row_group_id, count(*) as granted, count(*) filter (o_custkey % 17 = 0) as unsound from orders where o_orderkey % 5 = 0 and o_orderkey < 4000 group by all),
+    """with q as (select o_custkey // 10 as file_id, o_orderkey % 30 as row_group_id, count(*) as asked from orders where o_orderkey % 3 = 0 group by all),
+    s as (select o_custkey // 10 as file_id, o_orderkey % 30 as row_group_id, count(*) as granted, count(*) filter (o_custkey % 17 = 0) as unsound from orders where o_orderkey % 5 = 0 group by all),
     b as (select coalesce(q.file_id, s.file_id) as file_id, asked, granted, unsound from q full join s on q.file_id = s.file_id and q.row_group_id = s.row_group_id)
     select file_id, count(*) filter (granted is null) as not_granted, count(*) filter (asked is null) as not_asked, count(*) filter (asked > 1 or granted > 1) as repeated,
         coalesce(sum(unsound), 0)::bigint as unsound, count(*) filter (granted is null) + count(*) filter (asked is null) + count(*) filter (asked > 1 or granted > 1) + coalesce(sum(unsound), 0) = 0 as ok
@@ -628,7 +673,7 @@ def range_audit_classify(spark, sf):
 )
 def range_audit_preflight(spark, sf):
     o = V.table(spark, sf, "orders")
-    ids = [(F.col("o_orderkey") % 40).alias("file_id"), (F.col("o_custkey") % 30).alias("row_group_id")]
+    ids = [F.expr("o_custkey div 10").alias("file_id"), (F.col("o_orderkey") % 30).alias("row_group_id")]  # files grow with the table
     asked = o.where("o_orderkey % 3 = 0").select(*ids)
     spans = o.where("o_orderkey % 5 = 0").select(*ids, F.lit(0).alias("offset"), F.when(F.col("o_custkey") % 17 == 0, 0).otherwise(10).alias("length"))
     return audit.preflight_table(asked, spans, ["file_id"])

@@ -25,9 +25,14 @@ def relation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(str(path))
 
 
+def no_number(value: Column) -> Column:
+    """Whether a value is no number, a null included."""
+    return value.cast("string").try_cast("double").isNull()
+
+
 def bad_numbers(df: DataFrame, column: str) -> int:
     """Rows whose value is no number."""
-    return df.agg(F.count_if(F.col(f"`{column}`").cast("string").try_cast("double").isNull())).collect()[0][0]
+    return df.agg(F.count_if(no_number(F.col(f"`{column}`")))).collect()[0][0]
 
 
 def _number(column: str | None) -> Column:

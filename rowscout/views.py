@@ -71,12 +71,14 @@ def imu_s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the robots and sessions that the events have, over the same thirty days."""
     p = table(spark, sf_dir, "pages")
     start = 1_704_067_200_000_000_000
+    user = F.col("page_id") % 150
     return p.select(
-        (F.lit(start) + F.col("page_id") * 600_000_000_000).alias("timestamp_ns"),
-        F.concat(F.lit("robot_"), F.col("page_id") % 8).alias("robot_id"),
-        F.concat(F.lit("session_"), F.col("page_id") % 150).alias("session_id"),
+        (F.lit(start) + F.col("page_id") * 37 % 720 * 3_600_000_000_000).alias("timestamp_ns"),
+        F.concat(F.lit("robot_"), user % 8).alias("robot_id"),
+        F.concat(F.lit("session_"), user).alias("session_id"),
         F.concat(F.lit("cam"), F.col("page_id") % 2).alias("stream_id"),
         F.concat(F.lit("frames/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".png")).alias("frame_path"),
         F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("camera_bytes"),
@@ -163,7 +165,7 @@ imu_s as (
     from events where event_type in ('purchase', 'error')
 ),
 media_s as (
-    select 1704067200000000000 + page_id * 600000000000 as timestamp_ns, 'robot_' || (page_id % 8) as robot_id,
+    select 1704067200000000000 + (page_id * 37 % 720) * 3600000000000 as timestamp_ns, 'robot_' || (page_id % 150 % 8) as robot_id,
         'session_' || (page_id % 150) as session_id, 'cam' || (page_id % 2) as stream_id,
         'frames/' || lpad(page_id::varchar, 9, '0') || '.png' as frame_path, octet_length(encode(coalesce(html, ''))) as bytes
     from pages

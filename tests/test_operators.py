@@ -1,6 +1,7 @@
 """Expressions, operators, command line and stream against plain Python."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -13,7 +14,7 @@ import rowscout
 from rowscout.cli import main
 from rowscout.functions import spatial, times
 from rowscout.functions.motion import axis_angle, quat_normalize, with_slerp
-from rowscout.operators import gaps, resample
+from rowscout.operators import catalog, gaps, resample
 from rowscout.operators.audit import AuditedFile, RangeAuditor, RangeViolationError, Span, preflight, row_group_ids
 from rowscout.operators.catalog import _gap_of
 from rowscout.plans.predicate import parse
@@ -159,11 +160,29 @@ def test_times(spark):
     rows = df.select(times.filename_digits(F.col("name")), times.scaled(F.col("t"), 1, True), times.hour_bucket(F.col("t"))).collect()
     assert [r[0] for r in rows] == [1000000, None] and rows[0][1] == 1403715274302142977 and rows[1][2] == -times.HOUR_NS
     assert [times.unit_of_name(n) for n in ("sensor_time", "t_ms", "clock_us", "t_s", "t")] == ["ns", "ms", "us", "s", "ns"]
+    guessed = {"header_stamp": "ns", "time_milliseconds": "ms", "microseconds": "us", "seconds": "s", "time_ns": "ns", "Nanoseconds": "ns", "t_sec": "ns", "Elapsed_S": "s"}
+    assert {n: times.unit_of_name(n) for n in guessed} == guessed
     assert times.scale_of({"timestamp_unit": "ms", "discovery": {"timestamp_unit": "us"}}) == 1e6
     with pytest.raises(ValueError):
         times.grid_step(0)
 
 
+def test_files_by_uri(spark, tmp_path):
+    """Footers, row groups and ranges by a file:// URI, which goes through pyarrow's file systems like any store."""
+    from rowscout.operators.audit import read_range
+    from rowscout.sources.rowgroups import open_raw, read_groups
+
+    synthetic_pose(spark, 10, 10.0).coalesce(1).write.parquet(str(tmp_path / "p"))
+    path = str(next((tmp_path / "p").glob("*.parquet")))
+    uri = f"file://{path}"
+    assert open_raw(uri)[1] == os.path.getsize(path) and read_range(uri, 0, 4) == b"PAR1" == read_range(path, 0, 4)
+    by_path, by_uri = (catalog.index_files(spark, [x], "pose").drop("file_uri").collect() for x in (path, uri))
+    assert by_path == by_uri and len(by_uri) == 1
+    span = Span(0, by_uri[0].byte_offset, by_uri[0].byte_length)
+    got, report, _ = read_groups(uri, [0], ["timestamp_ns", "x"], [span], 1 << 20)
+    assert got.num_rows == by_uri[0].row_count and report["violations"] == 0 and report["footer_reads"] > 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert main(["ingest", "synthetic-parquet", "--hz", "50", "--out", str(tmp_path / "p"), "--row-group-rows", "25"]) == 0
     assert main(["catalog", "build", str(tmp_path / "p"), "--out", str(tmp_path / "c")]) == 0
@@ -185,23 +204,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["gate", "--catalog-db", str(tmp_path / "db"), "--choose", "--iterations", "2", "--min-prune-ratio", "0.5"]) == 0
     assert main(["gate", "--catalog-db", str(tmp_path / "db"), "--iterations", "1", "--max-authorized-bytes", "1"]) == 1
     assert main(["dataset", "demo", "--out", str(tmp_path / "messy")]) == 0
-    assert "24," in capsys.readouterr().out
+    assert "30," in capsys.readouterr().out
     with pytest.raises(SystemExit) as e:
         main(["catalog", "build"])
     assert e.value.code == 2
 
 
 def test_stream_catalog(spark, tmp_path):
-    from rowscout.streaming.catalog import stream_catalog
-
-    synthetic_pose(spark, 10, 200.0).write.parquet(str(tmp_path / "in"))
-    late = synthetic_pose(spark, 10, 1.0, start_ts_ns=900 * 10**9)  # moves the watermark on
-    late.write.mode("append").parquet(str(tmp_path / "in"))
+    from rowscout.streaming.catalog import late_rows, stream_catalog
+
+    poses = synthetic_pose(spark, 10, 200.0)
+    parts = [poses.where(f"timestamp_ns between {k * 50 * 10**9} and {(k + 1) * 50 * 10**9 - 1}") for k in range(4)]
+    parts.append(synthetic_pose(spark, 10, 1.0, start_ts_ns=900 * 10**9))  # moves the watermark on
+    parts.append(synthetic_pose(spark, 10, 1.0, start_ts_ns=10**9))  # comes too late, and is counted
+    for k, part in enumerate(parts):  # files arrive in the order of their times, which is what the stream reads by
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if not f.name.startswith("arrived"):
+                os.rename(f, tmp_path / "in" / f"arrived-{k}.parquet")
+                os.utime(tmp_path / "in" / f"arrived-{k}.parquet", (1_600_000_000 + 60 * k,) * 2)
     stream = spark.readStream.schema(POSE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stream_catalog(stream).writeStream.format("memory").queryName("cat").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     rows = spark.table("cat").where("start_ts_ns < 180000000000").orderBy("start_ts_ns").collect()
     assert [r.row_count for r in rows] == [600, 600, 600] and all(r.nominal_dt_ns == 10**8 and r.gap_count == 0 for r in rows)
+    assert late_rows(q) > 0
 
 
 def test_query_returns_raw_sample_on_exact_hit(spark):

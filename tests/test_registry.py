@@ -34,16 +34,16 @@ def test_query_equals_duckdb(spark, duck, name):
     columns = list(got.columns)
     assert [str(t) for t in got.dtypes] == [str(t) for t in want[columns].dtypes]
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
-    assert len(a) == len(b)
+    assert len(a) == len(b) and (len(a) or name == "filter_min_velocity")  # no speed of so few samples passes
     for c in columns:
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
 def test_preflight_reads_the_whole_table(spark):
     o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey").toPandas()
-    key = [o.o_orderkey % 40, o.o_custkey % 30]
+    key = [o.o_custkey // 10, o.o_orderkey % 30]
     span = o.o_orderkey % 5 == 0
-    unsound = (o.o_custkey[span] % 17 == 0).groupby(o.o_orderkey[span] % 40).sum()
+    unsound = (o.o_custkey[span] % 17 == 0).groupby(o.o_custkey[span] // 10).sum()
     repeated = {}
     asked, granted = (o[m].groupby([k[m] for k in key]).size() for m in (o.o_orderkey % 3 == 0, span))
     for pair in set(asked.index) | set(granted.index):
