@@ -1,10 +1,10 @@
 """Alignment of sample streams onto uniform timelines.
 
-The bracket of a grid point, the last sample at or before it and the first one at or after it, is an as-of join. It is
-done with running `last(..., ignore nulls)` windows over the union of grid and samples. A window partition is a piece
-of a timeline (`per_chunk` grid steps), not the whole, so a session that has a third of all rows is as many tasks as
-any other data of its size; what lies beyond a piece's edges is carried over by a small table of each piece's first and
-last sample.
+The bracket of a grid point, the last sample at or before it and the first one at or after it, is an as-of join. Since the
+grid is uniform, nothing needs to be joined: each sample knows the one that follows it, and so which grid points lie from
+the one to the other, and those are filled in. The order of samples is a window over a piece of a timeline (`per_chunk`
+grid steps), not the whole, so a session that has a third of all rows is as many tasks as any other data of its size; the
+sample that follows a piece's last one comes from a small table of each piece's first sample.
 """
 
 from __future__ import annotations
@@ -38,36 +38,66 @@ def uniform_grid(windows: DataFrame, keys: Sequence[str], hz: float, per_chunk:
     return filled.select(*keys, F.expr(f"(ts_ns - start_ts_ns) div {step}").alias("k"), "ts_ns", "chunk")
 
 
-def brackets(grid: DataFrame, samples: DataFrame, windows: DataFrame, keys: Sequence[str], values: Sequence[str], hz: float, ts: str = "timestamp_ns", per_chunk: int = 4096) -> DataFrame:
-    """grid rows with structs `prev` and `next` (ts and values of the samples around; both the same on an exact hit).
+def _floor_div(a: Column, b: int) -> Column:
+    """a / b rounded down, exactly, for BIGINTs of either sign."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b).cast("long")), F.lit(b).cast("long"))
 
-    Of samples that share a time, the greatest in the order of `values` counts.
+
+def brackets(
+    samples: DataFrame, windows: DataFrame, keys: Sequence[str], values: Sequence[str], hz: float, ts: str = "timestamp_ns", per_chunk: int = 4096, strict: bool = True
+) -> DataFrame:
+    """keys, k, ts_ns of the grid points of each window (keys, start_ts_ns, end_ts_ns), with structs `prev` and `next` (ts
+    and values of the samples around; both the same on an exact hit).
+
+    Of samples that share a time, the greatest in the order of `values` counts. strict: a grid point that lies before the
+    first sample or after the last raises, and so does a window without samples; otherwise such points are left out.
     """
-    keys, span = list(keys), grid_step(hz) * per_chunk
-    of = [F.col(k).alias(k) for k in keys]
-    start = windows.select(*of, F.col("start_ts_ns").alias("_start"))
+    keys, step = list(keys), grid_step(hz)
+    piece, span = [*keys, "chunk"], step * per_chunk
+    open_ = F.col("end_ts_ns") >= F.col("start_ts_ns")
+    last = F.call_function("div", F.col("end_ts_ns") - F.col("start_ts_ns"), F.lit(step).cast("long"))
+    win = windows.where(open_).select(*keys, F.col("start_ts_ns").alias("_start"), last.alias("_last"))
     body = F.struct(F.col(ts).alias("ts"), *(F.col(v).alias(v) for v in values))
-    s = samples.join(start, keys).withColumn("chunk", F.floor((F.col(ts) - F.col("_start")) / F.lit(span)).cast("long"))
-    s = s.select(*keys, "chunk", F.col(ts).alias("_t"), F.lit(None).cast("long").alias("k"), body.alias("_s"))
-    g = grid.select(*keys, "chunk", F.col("ts_ns").alias("_t"), "k", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
-    both = s.unionByName(g)
-    piece = [*keys, "chunk"]
-    # at one time samples come before grid points in either direction, and the sample that counts comes last
-    up = Window.partitionBy(*piece).orderBy(F.col("_t"), F.col("k").asc_nulls_first(), F.col("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*piece).orderBy(F.col("_t").desc(), F.col("k").asc_nulls_first(), F.col("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("_prev", F.last("_s", True).over(up)).withColumn("_next", F.last("_s", True).over(down))
+    s = samples.join(win, keys).select(*keys, _floor_div(F.col(ts) - F.col("_start"), span).alias("chunk"), F.col(ts).alias("_t"), body.alias("_s"), "_start", "_last")
+    order = Window.partitionBy(*piece).orderBy("_t", "_s")
+    after = F.lead("_t").over(order)
+    near = s.withColumn("_nt", after).where(F.col("_nt").isNull() | (F.col("_nt") != F.col("_t")))  # of one time the last counts
+    near = near.withColumn("_next", F.lead("_s").over(order))
     # a piece's first sample: of the least time, and of that time the greatest
-    early = F.when(F.col("_s").isNotNull(), F.struct((-F.col("_t")).alias("a"), F.col("_s").alias("b")))
-    edges = both.groupBy(*piece).agg(F.max("_s").alias("_last"), F.max_by("_s", early).alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("chunk")
-    edges = edges.withColumn("_before", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    back = Window.partitionBy(*keys).orderBy(F.col("chunk").desc())
-    edges = edges.withColumn("_after", F.last("_first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    edges = edges.select(*piece, "_before", "_after")
-    out = near.where(F.col("k").isNotNull()).join(edges, piece)
-    return out.select(
-        *keys, "k", F.col("_t").alias("ts_ns"), F.coalesce("_prev", "_before").alias("prev"), F.coalesce("_next", "_after").alias("next")
+    edges = s.groupBy(*piece).agg(F.max_by("_s", F.struct((-F.col("_t")).alias("a"), F.col("_s").alias("b"))).alias("_first"), F.max("_t").alias("_hi"))
+    whole, back = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("chunk").desc())
+    edges = edges.select(
+        *piece,
+        F.last("_first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+        F.min("_first.ts").over(whole).alias("_lo"),
+        F.max("_hi").over(whole).alias("_hi"),
     )
+    near = near.join(edges, piece).withColumn("_next", F.coalesce("_next", "_after"))
+    low = F.greatest(F.lit(0).cast("long"), -_floor_div(F.col("_start") - F.col("_t"), step))
+    until = F.coalesce(F.col("_next.ts") - 1, F.col("_t"))  # the last sample of all has only the point that it lies on
+    high = F.least(F.col("_last"), _floor_div(until - F.col("_start"), step))
+    if strict:
+        end = F.col("_start") + F.col("_last") * step
+        early, late = F.col("_lo") > F.col("_start"), F.col("_hi") < end
+        at = F.when(early, F.col("_start")).otherwise(F.col("_start") + (_floor_div(F.col("_hi") - F.col("_start"), step) + 1) * step)
+        low = F.when(early | late, _outside(at).cast("long")).otherwise(low)
+    near = near.withColumns({"_low": low, "_high": high}).where(F.col("_high") >= F.col("_low"))
+    near = near.select(*keys, "_start", "_t", "_s", "_next", "_low", "_high")
+    if strict:  # windows that no sample belongs to
+        none = win.join(samples.select(*keys).distinct(), keys, "left_anti")
+        kind = near.schema["_s"].dataType
+        never = {"_t": F.lit(None).cast("long"), "_s": F.lit(None).cast(kind), "_next": F.lit(None).cast(kind), "_low": _outside(F.col("_start")).cast("long"), "_high": F.lit(0).cast("long")}
+        near = near.unionByName(none.withColumns(never).drop("_last"))
+    # pieces first, so that no row holds an array of a whole timeline, however far two samples lie apart
+    pieces = near.withColumn("_p", F.explode(F.sequence(*(_floor_div(F.col(c), per_chunk) for c in ("_low", "_high")))))
+    first, end = F.greatest(F.col("_low"), F.col("_p") * per_chunk), F.least(F.col("_high"), F.col("_p") * per_chunk + (per_chunk - 1))
+    filled = pieces.withColumn("k", F.explode(F.sequence(first, end))).withColumn("ts_ns", F.col("_start") + F.col("k") * step)
+    return filled.select(*keys, "k", "ts_ns", F.col("_s").alias("prev"), F.when(F.col("ts_ns") == F.col("_t"), F.col("_s")).otherwise(F.col("_next")).alias("next"))
+
+
+def _outside(at: Column) -> Column:
+    """Raises: nothing is ever extrapolated."""
+    return F.raise_error(F.concat(F.lit("extrapolation needed at "), at.cast("string")))
 
 
 def _fraction() -> Column:
@@ -75,17 +105,9 @@ def _fraction() -> Column:
     return F.when(gap > 0, (F.col("ts_ns") - F.col("prev.ts")).cast("double") / F.when(gap > 0, gap)).otherwise(F.lit(0.0))
 
 
-def _inside(c: Column) -> Column:
-    """c, but raising where the grid leaves the samples: nothing is ever extrapolated."""
-    out = F.col("prev").isNull() | F.col("next").isNull()
-    message = F.concat(F.lit("extrapolation needed at "), F.col("ts_ns").cast("string"))
-    return F.when(out, F.raise_error(message).cast("double")).otherwise(c)
-
-
-def interpolated(bracketed: DataFrame, keys: Sequence[str], linear: Sequence[str], quat: Sequence[str] = (), strict: bool = True) -> DataFrame:
+def interpolated(bracketed: DataFrame, keys: Sequence[str], linear: Sequence[str], quat: Sequence[str] = ()) -> DataFrame:
     """keys, k, ts_ns and the channels: the raw sample on an exact hit, else lerp, and slerp for the quaternion."""
-    keep = bracketed if strict else bracketed.where(F.col("prev").isNotNull() & F.col("next").isNotNull())
-    keep = keep.withColumns({"_exact": F.col("prev.ts") == F.col("ts_ns"), "_f": _fraction()})
+    keep = bracketed.withColumns({"_exact": F.col("prev.ts") == F.col("ts_ns"), "_f": _fraction()})
     turned = [f"_q_{c}" for c in quat]
     if quat:
         ends = ([F.col(f"{side}.{c}") for c in quat] for side in ("prev", "next"))
@@ -93,22 +115,20 @@ def interpolated(bracketed: DataFrame, keys: Sequence[str], linear: Sequence[str
     cols = {c: lerp(F.col(f"prev.{c}"), F.col(f"next.{c}"), F.col("_f")) for c in linear}
     cols |= {c: F.col(q) for c, q in zip(quat, turned, strict=True)}
     cols = {c: F.when(F.col("_exact"), F.col(f"prev.{c}")).otherwise(v) for c, v in cols.items()}
-    return keep.select(*keys, "k", "ts_ns", *((_inside(v) if strict else v).alias(c) for c, v in cols.items()))
+    return keep.select(*keys, "k", "ts_ns", *(v.alias(c) for c, v in cols.items()))
 
 
 def tensorize(poses: DataFrame, windows: DataFrame, keys: Sequence[str], hz: float, per_chunk: int = 4096, strict: bool = True) -> DataFrame:
     """keys, k, ts_ns and the ten pose channels on the uniform grid of each window (keys, start_ts_ns, end_ts_ns)."""
-    grid = uniform_grid(windows, keys, hz, per_chunk)
-    near = brackets(grid, poses, windows, keys, POSE_CHANNELS, hz, per_chunk=per_chunk)
-    out = interpolated(near, keys, [c for c in POSE_CHANNELS if c[0] != "q"], ("qw", "qx", "qy", "qz"), strict)
+    near = brackets(poses, windows, keys, POSE_CHANNELS, hz, per_chunk=per_chunk, strict=strict)
+    out = interpolated(near, keys, [c for c in POSE_CHANNELS if c[0] != "q"], ("qw", "qx", "qy", "qz"))
     return out.select(*keys, "k", "ts_ns", *POSE_CHANNELS)
 
 
 def tensorize_imu(imu: DataFrame, windows: DataFrame, keys: Sequence[str], hz: float, per_chunk: int = 4096, strict: bool = True) -> DataFrame:
     """keys, k, ts_ns and the six inertial channels, linear only, on the grid that tensorize has."""
-    grid = uniform_grid(windows, keys, hz, per_chunk)
-    near = brackets(grid, imu, windows, keys, IMU_CHANNELS, hz, per_chunk=per_chunk)
-    return interpolated(near, keys, IMU_CHANNELS, strict=strict)
+    near = brackets(imu, windows, keys, IMU_CHANNELS, hz, per_chunk=per_chunk, strict=strict)
+    return interpolated(near, keys, IMU_CHANNELS)
 
 
 def assemble(pose_tensor: DataFrame, imu_tensor: DataFrame | None, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
