@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ def quantize_of(v: float) -> int:
     return max(0, min(SIDE - 1, math.floor(v) + HALF))
 
 
+@functools.lru_cache(4096)
 def hilbert_range_of(min_x: float, max_x: float, min_y: float, max_y: float) -> tuple[int, int]:
     """Least and greatest Hilbert index of the cells of a box; the whole curve if the box has over MOST_CELLS cells."""
     x0, x1, y0, y1 = quantize_of(min_x), quantize_of(max_x), quantize_of(min_y), quantize_of(max_y)
@@ -84,10 +87,15 @@ def tile(v: Column) -> Column:
     return F.floor(v).cast("long")
 
 
-def overlaps(box: tuple[float, ...]) -> Column:
-    """Closed overlap of a row group's box with (min_x, max_x, min_y, max_y, min_z, max_z)."""
+def checked_box(box: tuple[float, ...]) -> tuple[float, ...]:
     if len(box) != 6:
         raise ValueError("a bbox has six numbers: min_x, max_x, min_y, max_y, min_z, max_z")
+    return box
+
+
+def overlaps(box: tuple[float, ...]) -> Column:
+    """Closed overlap of a row group's box with (min_x, max_x, min_y, max_y, min_z, max_z)."""
+    checked_box(box)
     out = F.lit(True)
     for axis, lo, hi in zip("xyz", box[::2], box[1::2], strict=True):
         out = out & (F.col(f"max_{axis}") >= F.lit(float(lo))) & (F.col(f"min_{axis}") <= F.lit(float(hi)))

@@ -7,6 +7,7 @@ are small enough are held in memory between plans (see hot.py), and need no job
 
 from __future__ import annotations
 
+import math
 import os
 import time
 from collections import OrderedDict
@@ -22,12 +23,13 @@ from ..operators.catalog import with_spatial_keys
 from ..schemas import CHANNELS, IMU_CATALOG_SCHEMA, MEDIA_CATALOG_SCHEMA, MEDIA_PREFIXES, POSE_CATALOG_SCHEMA, typed
 from . import hot
 from .predicate import Predicate, parse
-from .report import BatchSeekPlan, CorrectnessReport, RowGroupSpan, SeekPlan, TemporalGapError, combined
+from .report import BatchSeekPlan, CorrectnessReport, EgressLimitError, RowGroupSpan, SeekPlan, TemporalGapError, combined
 
 DEFAULT_CHANNELS = ("pos_xyz", "rot_wxyz", "vel_xyz")
 DEFAULT_EGRESS = 1_000_000_000
 MOST_HELD = 4  # opened catalogs
 FEW_CANDIDATES = 2048
+MOST_PLANNED = 1_000_000
 
 
 def split_channels(channels: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -125,7 +127,6 @@ def _remembered(spark: SparkSession, names: tuple, cats: Catalogs) -> Catalogs:
 
 
 _ROW = [f.name for f in POSE_CATALOG_SCHEMA]
-_COUNTS = ["candidates", *(f"after_{s}" for s in select.STAGES), "time_pruned", "coarse_pruned", "spatial_pruned", "velocity_pruned"]
 
 
 def candidates(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end, bbox, min_velocity) -> DataFrame:
@@ -153,24 +154,23 @@ def _order(r: dict) -> tuple:
     return r["start_ts_ns"], r["row_group_id"], r["robot_id"], r["session_id"]
 
 
-def found(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end, bbox, min_velocity, limit) -> tuple[list[dict], dict[str, int]]:
+def found(cats: Catalogs, pred: Predicate, robot_id, session_id, start, end, bbox, min_velocity, limit, max_egress_bytes: float = math.inf) -> tuple[list[dict], dict[str, int]]:
     """Matched row groups and counters, from memory or by Spark."""
     table = cats.hot.get("pose")
     if table is None:
-        return matched(candidates(cats, pred, robot_id, session_id, start, end, bbox, min_velocity), limit)
-    boxes = [*pred.boxes, *([tuple(map(float, bbox))] if bbox is not None else [])]
-    for b in boxes:
-        spatial.overlaps(b)
+        return matched(candidates(cats, pred, robot_id, session_id, start, end, bbox, min_velocity), limit, max_egress_bytes)
+    boxes = [spatial.checked_box(b) for b in (*pred.boxes, *([tuple(map(float, bbox))] if bbox is not None else []))]
     at, n = hot.stages(table, cats.strategy, pred, boxes, robot_id, session_id, start, end, min_velocity)
     hit = sorted(table.taken(at, _ROW), key=_order)
     return (hit if limit is None else hit[:limit]), _pruned(n)
 
 
-def matched(rows: DataFrame, limit: int | None) -> tuple[list[dict], dict[str, int]]:
+def matched(rows: DataFrame, limit: int | None, max_egress_bytes: float = math.inf) -> tuple[list[dict], dict[str, int]]:
     """Matched row groups in order and the counters of all stages, which a limit does not touch.
 
     Few candidates come to the driver as they are, marks and all, in one narrow job. More than FEW_CANDIDATES stay where
-    they are: they are counted and filtered there, and only what matched is collected.
+    they are: they are counted and filtered there, and only what matched is collected. If that would be more than
+    MOST_PLANNED row groups, and more bytes than may be read, nothing is collected and EgressLimitError is raised.
     """
     marks = [f"m_{s}" for s in select.STAGES]
     few = rows.select(*_ROW, *marks).limit(FEW_CANDIDATES + 1).collect()
@@ -178,10 +178,11 @@ def matched(rows: DataFrame, limit: int | None) -> tuple[list[dict], dict[str, i
         n = {"candidates": len(few)} | {f"after_{s}": sum(r[f"m_{s}"] for r in few) for s in select.STAGES}
         hit = sorted((r.asDict() for r in few if r["m_velocity"]), key=_order)
         return (hit if limit is None else hit[:limit]), _pruned(n)
-    counted = select.with_stage_counts(rows).where("m_velocity").select(*_ROW, *_COUNTS)
-    got = [r.asDict() for r in select.top_row_groups(counted, limit).collect()]
-    counts = {c: got[0][c] for c in _COUNTS} if got else select.stage_counts(rows).collect()[0].asDict()
-    return got, counts
+    size = F.coalesce(F.sum(F.when(F.col("m_velocity"), F.col("byte_length"))), F.lit(0)).alias("bytes")
+    n = rows.agg(F.count("*").alias("candidates"), *(F.count_if(f"m_{s}").alias(f"after_{s}") for s in select.STAGES), size).first().asDict()
+    if n.pop("bytes") > max_egress_bytes and limit is None and n["after_velocity"] > MOST_PLANNED:
+        raise EgressLimitError(f"the query matches {n['after_velocity']} row groups of more than {max_egress_bytes} bytes")
+    return [r.asDict() for r in select.top_row_groups(rows.where("m_velocity").select(*_ROW), limit).collect()], _pruned(n)
 
 
 def explain(
@@ -373,7 +374,7 @@ def plan(
     spark = session(spark)
     cats, pred, needs_imu, media = _prepare(gap_policy, catalog, catalog_db, imu_catalog, media_catalog, channels, predicate, spark)
     began = time.perf_counter()
-    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit)
+    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit, max_egress_bytes)
     ms = (time.perf_counter() - began) * 1000
     if not rows:
         raise LookupError("query matched no catalog row groups")
@@ -407,7 +408,7 @@ def plan_batch(
     spark = session(spark)
     cats, pred, needs_imu, media = _prepare(gap_policy, catalog, catalog_db, imu_catalog, media_catalog, channels, predicate, spark)
     began = time.perf_counter()
-    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit)
+    rows, counts = found(cats, pred, robot_id, session_id, start_ts_ns, end_ts_ns, bbox, min_velocity, limit, max_egress_bytes)
     ms = (time.perf_counter() - began) * 1000
     if not rows:
         raise LookupError("query matched no catalog row groups")
