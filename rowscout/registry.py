@@ -207,6 +207,20 @@ def staged_explain(spark, sf):
     return select.stage_counts(rows)
 
 
+@query(f"""
+    , m as (select session_id, row_group_id, {IN_TIME} as t, floor(max_x) >= 50 and floor(min_x) <= 200 and floor(max_y) >= 10 and floor(min_y) <= 60 as c,
+        {IN_BOX} as e, max_velocity >= 0.001 as v from rg_pose),
+    n as (select count(*) as candidates, count(*) filter (t) as after_time, count(*) filter (t and c) as after_coarse, count(*) filter (t and c and e) as after_exact,
+        count(*) filter (t and c and e and v) as after_velocity from m)
+    select session_id, row_group_id, n.* from m, n where t and c and e and v
+""")
+def staged_rows(spark, sf):
+    keyed = catalog.with_spatial_keys(V.rg_pose(spark, sf))
+    rows = select.marked(keyed, select.time_overlap(START, END), spatial.coarse_tile(BOX), spatial.overlaps(BOX), select.min_velocity(0.001))
+    counted = select.with_stage_counts(rows).where("m_velocity")
+    return counted.select("session_id", "row_group_id", "candidates", *(f"after_{s}" for s in select.STAGES))
+
+
 @query("select session_id, row_group_id, start_ts_ns, end_ts_ns, byte_length from rg_pose order by start_ts_ns, row_group_id, robot_id, session_id limit 50")
 def top_row_groups(spark, sf):
     return select.top_row_groups(V.rg_pose(spark, sf), 50).select(*_IDS)

@@ -9,6 +9,7 @@ a row of its own (kind `audit`), so data and audit are one job. Reads go through
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -76,10 +77,14 @@ def read_groups(uri: str, ids: Sequence[int], schema_names: Sequence[str], spans
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names; in one of our own where that is unset."""
+    """df computed once and kept in the folder that spark.checkpoint.dir names. Where that is unset and Spark runs in one
+    process, in a temporary one; on a cluster an unset folder is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowscout-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rowscout-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

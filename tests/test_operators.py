@@ -107,6 +107,27 @@ def test_resample_against_numpy_over_many_chunks(spark):
     assert list(got.columns)[3:] == list(POSE_CHANNELS)
 
 
+def test_grid_points_and_what_lies_outside(spark):
+    """Grid points are those of uniform_grid; a window that the samples do not cover, or that has none, raises."""
+    poses = synthetic_pose(spark, 10, 3.0)
+    spans = [(7, 10**9 + 3, 2 * 10**9), (8, 10**9, 10**9), (9, 2 * 10**9, 10**9)]
+    win = spark.createDataFrame(spans, "w long, start_ts_ns long, end_ts_ns long")
+    each = poses.crossJoin(win.select("w"))
+    want = sorted((r.w, r.k, r.ts_ns) for r in resample.uniform_grid(win, ["w"], 300, 7).collect())
+    got = resample.tensorize(each, win, ["w"], 300, 7)
+    assert sorted((r.w, r.k, r.ts_ns) for r in got.collect()) == want and len(want) > 250
+    for start, end, at in ((-5, 10**9, -5), (10**9, 3_100_000_001, 3_003_333_333), (10**10, 2 * 10**10, 10**10)):
+        out = spark.createDataFrame([(7, start, end)], "w long, start_ts_ns long, end_ts_ns long")
+        with pytest.raises(Exception, match="extrapolation needed at"):
+            resample.tensorize(each, out, ["w"], 300, 7).collect()
+        kept = resample.tensorize(each, out, ["w"], 300, 7, strict=False).collect()
+        inside = [r.ts_ns for r in resample.uniform_grid(out, ["w"], 300, 7).collect() if 0 <= r.ts_ns <= 3 * 10**9]
+        assert sorted(r.ts_ns for r in kept) == sorted(inside)
+    none = spark.createDataFrame([(99, 0, 10)], "w long, start_ts_ns long, end_ts_ns long")
+    with pytest.raises(Exception, match="extrapolation needed at 0"):
+        resample.tensorize(each, none, ["w"], 300).collect()
+
+
 def test_resample_with_sparse_samples_and_ties(spark):
     poses = synthetic_pose(spark, 1, 10.0)
     twice = poses.unionByName(poses.withColumn("x", F.col("x") - 100))  # of equal times the greatest counts

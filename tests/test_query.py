@@ -188,6 +188,22 @@ def test_plans_from_memory_equal_sparks(spark, tmp_path, strategy):
         assert told[0] == told[1]
 
 
+def test_many_candidates_stay_with_spark(spark, monkeypatch):
+    from rowscout.operators.catalog import fake_catalog
+    from rowscout.plans import planner
+
+    options = {"catalog": fake_catalog(spark, 300, 3), "robot_id": "humanoid_02", "min_velocity": 4.0, "seam_check": False, "max_egress_bytes": 1000, "spark": spark}
+    few = plan_batch(**options)
+    monkeypatch.setattr(planner, "FEW_CANDIDATES", 20)
+    many = plan_batch(**options)
+    assert [w.pose_row_groups for w in few.windows] == [w.pose_row_groups for w in many.windows] and few.blocked_by_egress and many.blocked_by_egress
+    for k in ("candidate_row_groups", "matched_row_groups", "velocity_pruned_row_groups", "time_pruned_row_groups"):
+        assert getattr(few.diagnostics, k) == getattr(many.diagnostics, k)
+    monkeypatch.setattr(planner, "MOST_PLANNED", 10)
+    with pytest.raises(EgressLimitError, match="row groups"):
+        plan_batch(**options)
+
+
 def test_held_catalogs_follow_their_files(spark, tmp_path):
     from rowscout.operators.catalog import fake_catalog, save
     from rowscout.plans import hot, planner
