@@ -1,6 +1,7 @@
 """Chat formatting, in Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted. Adjacent turns of one role are merged into one block:
+The turns of a conversation are collected as structs and sorted. Adjacent turns of one role are gathered in one block, whose
+texts are merged by joining them:
 
     <:role>text<+:role>text</turn>
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .frames import pick
 
+#: What closes a block.
+END = "</turn>\n"
+
 
 def escaped(x: Column) -> Column:
     for a, b in (("\\", "\\s"), ("<", "\\l"), (">", "\\g")):
@@ -52,26 +56,41 @@ def format_chats(
     )
     sorted_turns = got.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
 
-    def marks(x: Column, i: Column) -> Column:
-        before, after = F.get("t", i - 1)["role"], F.get("t", i + 1)["role"]
-        opening = F.concat(F.when(before.eqNullSafe(x["role"]), "<+:").otherwise("<:"), escaped(x["role"]), F.lit(">"))
-        closing = F.when(after.eqNullSafe(x["role"]), "").otherwise("</turn>\n")
-        return F.struct(
-            opening.alias("opening"), escaped(x["text"]).alias("text"), closing.alias("closing"), (x["role"] == trained).alias("loss")
+    # where blocks begin: at the first turn and wherever the role changes; a block holds the turns from there to the next
+    role_at = lambda i: F.get("t", i)["role"]
+    opens = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (role_at(i) != role_at(i - 1)))
+    begun = sorted_turns.withColumn("opens", opens)
+    until = lambda k: F.coalesce(F.get("opens", k + 1), F.size("t"))
+
+    def block(i: Column, k: Column) -> Column:
+        role = role_at(i)
+        texts = F.transform(F.slice("t", i + 1, until(k) - i), lambda x: escaped(x["text"]))
+        return F.struct(escaped(role).alias("role"), (role == trained).alias("loss"), texts.alias("texts"))
+
+    blocks = begun.select("conv_id", F.transform("opens", block).alias("blocks"))
+
+    def merged(b: Column) -> Column:
+        between = F.concat(F.lit("<+:"), b["role"], F.lit(">"))
+        return F.concat(F.lit("<:"), b["role"], F.lit(">"), F.call_function("array_join", b["texts"], between), F.lit(END))
+
+    def runs(b: Column, k: Column) -> Column:
+        first = F.when(k > 0, len(END)).otherwise(0) + len("<:>")  # what closes a block runs on into the next mark
+        return F.flatten(
+            F.transform(
+                b["texts"],
+                lambda x, j: F.array(
+                    F.struct((F.when(j == 0, first).otherwise(len("<+:>")) + F.length(b["role"])).alias("chars"), F.lit(False).alias("loss")),
+                    F.struct(F.length(x).alias("chars"), b["loss"].alias("loss")),
+                ),
+            )
         )
 
-    parts = sorted_turns.select("conv_id", F.transform("t", marks).alias("p"))
-
-    def chars(x: Column, i: Column) -> Column:
-        held = F.coalesce(F.get("p", i - 1)["closing"], F.lit(""))  # what closes a turn runs on into the next mark
-        return F.array(
-            F.struct((F.length(held) + F.length(x["opening"])).alias("chars"), F.lit(False).alias("loss")),
-            F.struct(F.length(x["text"]).alias("chars"), x["loss"].alias("loss")),
-        )
-
-    text = F.array_join(F.transform("p", lambda x: F.concat(x["opening"], x["text"], x["closing"])), "")
-    last = F.array(F.struct(F.length(F.element_at("p", -1)["closing"]).alias("chars"), F.lit(False).alias("loss")))
-    return parts.select("conv_id", text.alias("formatted"), F.concat(F.flatten(F.transform("p", chars)), last).alias("loss_runs"))
+    last = F.array(F.struct(F.lit(len(END)).alias("chars"), F.lit(False).alias("loss")))
+    return blocks.select(
+        "conv_id",
+        F.array_join(F.transform("blocks", merged), "").alias("formatted"),
+        F.concat(F.flatten(F.transform("blocks", runs)), last).alias("loss_runs"),
+    )
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -87,12 +106,12 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
     def fits(x: Column, i: Column) -> Column:
         mark = F.instr(x, ">")
-        closed = F.when((i > 0) & x.startswith(":"), len("</turn>\n")).otherwise(0)  # a new block closes the one before
+        closed = F.when((i > 0) & x.startswith(":"), len(END)).otherwise(0)  # a new block closes the one before
         between, text = F.get("loss_runs", 2 * i), F.get("loss_runs", 2 * i + 1)
         return (between["chars"] == closed + mark + 1) & ~between["loss"] & (text["chars"] == F.length(x) - mark)
 
     last = F.element_at("loss_runs", -1)
-    whole = (F.size("loss_runs") == 2 * F.size("pieces") + 1) & (last["chars"] == len("</turn>\n")) & ~last["loss"]
+    whole = (F.size("loss_runs") == 2 * F.size("pieces") + 1) & (last["chars"] == len(END)) & ~last["loss"]
     fitting = whole & F.forall(F.transform("pieces", fits), lambda ok: F.coalesce(ok, F.lit(False)))
 
     def turn(x: Column, i: Column) -> Column:

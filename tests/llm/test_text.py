@@ -371,13 +371,11 @@ def test_chat_plan_is_native(spark):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
 
 
-def test_registered_digests(spark, library):
+def test_registered_digests(spark, library, tmp_path):
     """The queries' digest columns on a small table, against hashlib and zlib."""
     from rowscout.llm import queries as q
 
-    import tempfile
-
-    root = tempfile.mkdtemp()
+    root = str(tmp_path)
     texts = [t for t in TEXTS if len(t) < 2000]
     table(spark, [*enumerate(texts), (99, None)]).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)}).write.parquet(f"{root}/documents.parquet")
     want = {**dict(enumerate(texts)), 99: ""}
