@@ -262,6 +262,7 @@ def demo_command(a) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="rowscout", description=__doc__)
+    # fixed values: the names of groups, commands and options are public
     groups = top.add_subparsers(dest="group", required=True)
 
     def group(name, run):

@@ -17,6 +17,7 @@ def _build(kind, data: Mapping[str, Any]):
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in data.items() if k in known})
 
 
+#: The fields' names of the records below are the keys of the public JSON profiles, manifests and reports.
 @dataclass(frozen=True)
 class DatasetFile(_Record):
     path: str
