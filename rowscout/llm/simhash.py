@@ -34,6 +34,7 @@ from .frames import MOST_BROADCAST, by_size, coalesced_text, durable, free_memor
 
 SHORT = 40  # shingles of a set that goes through the prefix filter
 TILE_BYTES = 16 << 20  # of shingle sets
+BLOCK_ROWS = 1 << 17  # that are compared at a time: each step is one call for all groups among them
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -138,12 +139,15 @@ def word_rows(column: pa.Array) -> np.ndarray:
 
 def planes(fps: np.ndarray) -> np.ndarray:
     """A row of words for each bit; bit l of word w in row b is bit b of fingerprint 64 w + l. The end is filled with 0."""
-    lanes = -(-len(fps) // 64) * 64
-    padded = np.zeros((lanes, fps.shape[1]), np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64)
+    out = np.zeros((64 * fps.shape[1], -(-len(fps) // 64)), np.uint64)
+    for at in range(0, len(fps), 4096):  # the unpacked bits take eight times the room
+        part = fps[at : at + 4096]
+        padded = np.zeros((-(-len(part) // 64) * 64, fps.shape[1]), np.uint64)
+        padded[: len(part)] = part
+        bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+        packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        out[:, at // 64 : at // 64 + packed.shape[1] // 8] = np.ascontiguousarray(packed).view(np.uint64)
+    return out
 
 
 def _lane_words(flags: np.ndarray) -> np.ndarray:
@@ -163,34 +167,46 @@ def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
     return half ^ c, a & b | half & c
 
 
-def within(differ, live: np.ndarray, radius: int, bits: int = 64) -> np.ndarray:
+def within(differ, live: np.ndarray, radius: int, bits: int = 64, one_by_one=None) -> np.ndarray:
     """Lanes (as bits of words) whose distance is radius at most.
 
-    differ(b, at) gives, for bit b, the words (numbers at) of lanes that differ there; live has the lanes that count.
-    Seven planes at a time are added up to three-bit numbers, which go onto the counters; these are vertical, level k
-    holding bit k of each lane's count. A lane whose count has passed the radius leaves `live`, and words without live
-    lanes are abandoned.
+    differ(lo, hi, at) gives, for bits lo to hi, a row each of the words (numbers at; None: all) of lanes that differ there;
+    live has the lanes that count. Seven planes at a time are added up to three-bit numbers, which go onto the counters;
+    these are vertical, level k holding bit k of each lane's count. A lane whose count has passed the radius leaves `live`,
+    and words without live lanes are abandoned; lanes are looked at from twice the radius on, as few pass it earlier. When
+    few lanes are left, one_by_one(lanes), if given, says which of them are within the radius.
     """
     at = np.flatnonzero(live)
-    live_at = live[at].copy()
-    count = [np.zeros(len(at), np.uint64) for _ in range(bits.bit_length())]
-    for b in range(0, bits, 7):
-        p = [differ(k, at) for k in range(b, min(b + 7, bits))]
-        p += [np.zeros(len(at), np.uint64)] * (7 - len(p))
+    at, live_at = (None, live.copy()) if len(at) == len(live) else (at, live[at])
+    count = [np.zeros(len(live_at), np.uint64) for _ in range(bits.bit_length())]
+    for b in range(0, bits if len(live_at) else 0, 7):
+        p = [*differ(b, min(b + 7, bits), at)]
+        p += [np.zeros(len(live_at), np.uint64)] * (7 - len(p))
         s1, c1 = _add(p[0], p[1], p[2])
         s2, c2 = _add(p[3], p[4], p[5])
         one, c3 = _add(s1, s2, p[6])
         two, four = _add(c1, c2, c3)
-        carry = np.zeros(len(at), np.uint64)
-        for k, x in enumerate((one, two, four)):
+        carry = np.zeros(len(live_at), np.uint64)
+        levels = min(b + 7, bits).bit_length()
+        for k, x in enumerate((one, two, four)[:levels]):
             count[k], carry = _add(count[k], x, carry)
-        for k in range(3, len(count)):
+        for k in range(3, levels):
             count[k], carry = count[k] ^ carry, count[k] & carry
+        if b + 7 < min(bits, 2 * radius):
+            continue
         live_at &= ~_over(count, radius)
+        if one_by_one and b + 7 < bits and np.bitwise_count(live_at).sum() <= 4 * len(live):
+            lanes = _lanes(live_at)
+            lanes = lanes if at is None else at[lanes >> 6] << 6 | lanes & 63
+            left = np.zeros(64 * len(live), bool)
+            left[lanes[one_by_one(lanes)]] = True
+            return _lane_words(left)
         if not live_at.all() and (keep := live_at != 0).mean() < 0.75:
-            at, live_at, count = at[keep], live_at[keep], [c[keep] for c in count]
+            at, live_at, count = np.flatnonzero(keep) if at is None else at[keep], live_at[keep], [c[keep] for c in count]
             if not len(at):
                 break
+    if at is None:
+        return live_at
     out = np.zeros(len(live), np.uint64)
     out[at] = live_at
     return out
@@ -208,37 +224,80 @@ def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
+def linked_pairs(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links inside groups that lie side by side, as rows i, j: each round compares every row of all groups with the
+    one `shift` places on, for as long as groups are that long, and yields what it finds. Groups go by size, so that a
+    round has to do with those alone that are long enough. Rows of one label, if given, are known to be joined and are
+    left out; the caller may join more of them between rounds."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(group)])
+    by = np.argsort(-sizes, kind="stable")
+    by = by[sizes[by] > 1]
+    starts, sizes = starts[by], sizes[by]
+    ends = np.cumsum(sizes)
+    home = np.repeat(np.arange(len(sizes)), sizes)
+    rows = np.repeat(starts - (ends - sizes), sizes) + np.arange(len(home))
+    fps = fps[rows]
+    p = planes(fps)
+    longest = int(sizes[0]) if len(sizes) else 0
+    for r in range(min(64, longest)):
+        moved = None
+        for shift in range(r or 64, longest, 64):
+            n = int(ends[np.searchsorted(-sizes, -shift) - 1])  # rows of the groups of more than `shift`
+            live = home[: n - shift] == home[shift:n]
+            if label is not None:
+                live &= label[rows[: n - shift]] != label[rows[shift:n]]
+            if not live.any():
+                continue
+            if moved is None:  # later shifts of this r have fewer rows
+                moved = p[:, : -(-n // 64)]
+                if r:
+                    after = np.concatenate([moved[:, 1:], np.zeros((len(p), 1), np.uint64)], axis=1)
+                    moved = moved >> np.uint64(r) | after << np.uint64(64 - r)
+            live, w = _lane_words(live), shift >> 6
+
+            def differ(lo: int, hi: int, at: np.ndarray | None, k: int = len(live), w: int = w, moved: np.ndarray = moved) -> np.ndarray:
+                if at is None:
+                    return p[lo:hi, :k] ^ moved[lo:hi, w : w + k]
+                return p[lo:hi].take(at, axis=1) ^ moved[lo:hi].take(at + w, axis=1)
+
+            near = lambda lanes, shift=shift: np.bitwise_count(fps[lanes] ^ fps[lanes + shift]).sum(axis=1) <= radius
+            hit = _lanes(within(differ, live, radius, len(p), near))
+            if len(hit):
+                yield rows[hit], rows[hit + shift]
+
+
 def small_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside groups that lie side by side: rows i, j. For groups of a few dozen rows: each round compares
-    every row with the one `shift` places on, for as long as groups are that long."""
-    n, p = len(fps), planes(fps)
-    left, right = [], []
-    for shift in range(1, n):
-        live = np.zeros(n, bool)
-        live[:-shift] = group[:-shift] == group[shift:]
-        if not live.any():
-            break
-        w, r = divmod(shift, 64)
-
-        def moved(row: np.ndarray, at: np.ndarray, w: int = w, r: int = r) -> np.ndarray:
-            low = np.take(row, at + w, mode="clip")
-            if not r:
-                return low
-            return low >> np.uint64(r) | np.take(row, at + w + 1, mode="clip") << np.uint64(64 - r)
-
-        hit = _lanes(within(lambda b, at: p[b][at] ^ moved(p[b], at), _lane_words(live), radius, len(p)))  # noqa: B023
-        left.append(hit)
-        right.append(hit + shift)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    """All links inside groups that lie side by side: rows i, j."""
+    found = [(np.empty(0, np.int64),) * 2, *linked_pairs(fps, group, radius)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def trees(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trees of the links inside groups that lie side by side, as an edge from each row to the first of its tree. Rows
+    that are joined are not compared again, so a group of near copies costs few rounds."""
+    label = np.arange(len(fps))
+    for i, j in linked_pairs(fps, group, radius, label):
+        roots, at = np.unique(label[np.r_[i, j]], return_inverse=True)
+        a, b = at[: len(i)], at[len(i) :]
+        up = np.arange(len(roots))
+        while (apart := up[a] != up[b]).any():
+            a, b = up[a[apart]], up[b[apart]]
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while ((higher := up[up]) != up).any():
+                up = higher
+        to = np.arange(len(fps))
+        to[roots] = roots[up]
+        label[:] = to[label]
+    below = np.flatnonzero(label != np.arange(len(fps)))
+    return label[below], below
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """The trees of the links within one group, as an edge from each row to the first of its tree: each row is compared,
-    bit-sliced, with the rows that no row has reached yet, and those it reaches wait their turn."""
+    bit-sliced, with the rows that no row has reached yet, and those it reaches wait their turn. Tests hold trees() against it."""
     n, p = len(fps), planes(fps)
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(bool)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
     live = _lane_words(np.ones(n, bool))
     left: list[int] = []
     right: list[int] = []
@@ -249,7 +308,8 @@ def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
         wait = [seed]
         while wait and live.any():
             i = wait.pop()
-            found = within(lambda b, at: ~p[b][at] if bits[i, b] else p[b][at], live, radius, len(p))  # noqa: B023
+            own = np.uint64(0) - bits[i]
+            found = within(lambda lo, hi, at: (p[lo:hi] if at is None else p[lo:hi].take(at, axis=1)) ^ own[lo:hi, None], live, radius, len(p))  # noqa: B023
             live &= ~found
             reached = _lanes(found).tolist()
             left += [seed] * len(reached)
@@ -258,25 +318,7 @@ def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def thinned(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of links, their trees: an edge from each row to the least of its tree."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    below = sorted(up)
-    return [find(x) for x in below], below
-
-
-def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> Iterator[pa.RecordBatch]:
+def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) from nodes to the least of their trees in a group. rows: group, fp, node, with groups side by side and
     nodes ascending, so that the trees of different bands begin at the same nodes and have many edges in common.
 
@@ -284,25 +326,15 @@ def links_of_groups(rows: Iterator[pa.RecordBatch], radius: int, small: int = 48
     together, which only costs time."""
 
     def flush(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch | None:
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(keys)])
-        few = np.repeat(sizes <= small, sizes)
-        where = np.flatnonzero(few)
-        i, j = thinned(*small_links(fps[where], np.repeat(np.arange(len(sizes)), sizes)[where], radius))
-        a, b = [nodes[where[i]]], [nodes[where[j]]]
-        for s, m in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-            i, j = forest(fps[s : s + m], radius)
-            a.append(nodes[s : s + m][i])
-            b.append(nodes[s : s + m][j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
+        i, j = trees(fps, keys, radius)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"]) if len(i) else None
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     count = 0
     for batch in rows:
         held.append((np.asarray(batch.column(0)), word_rows(batch.column(1)), np.asarray(batch.column(2))))
         count += batch.num_rows
-        if count < 20_000:
+        if count < BLOCK_ROWS:
             continue
         keys, fps, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
         cut = int(np.argmax(keys == keys[-1]))  # the last group may go on

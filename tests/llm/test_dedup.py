@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -188,6 +189,32 @@ def test_long_bit_sliced_comparison():
         assert all(trees.find(x) == trees.find(got.get(x, x)) == got.get(x, x) for x in range(len(fps)))
 
 
+def test_groups_are_compared_together(monkeypatch):
+    """Groups of some hundred rows, as bands have them at several GB, cost a comparison for each distance between rows, not one
+    for each row, and near copies among them are not compared again once they are joined."""
+    rng = np.random.default_rng(17)
+    fps = rng.integers(0, 1 << 63, (12 * 130, 8), dtype=np.uint64)
+    group = np.sort(rng.integers(0, 12, len(fps)))
+    near = rng.permutation(len(fps))
+    for k in range(0, 240, 2):  # pairs and chains
+        fps[near[k + 1]] = fps[near[k]] ^ (np.uint64(1) << rng.integers(0, 64, 8).astype(np.uint64))
+    crowd = np.flatnonzero(group == 7)[::2]
+    fps[crowd] = fps[crowd[0]] ^ (np.uint64(1) << rng.integers(0, 64, (len(crowd), 8)).astype(np.uint64))
+    nodes = np.arange(len(fps)) * 3
+    want = set()
+    for g in range(12):
+        at = np.flatnonzero(group == g)
+        want |= {(int(nodes[at[i]]), int(nodes[at[j]])) for i, j in zip(*simhash.forest(fps[at], 110), strict=True)}
+    calls, within = [], simhash.within
+    monkeypatch.setattr(simhash, "within", lambda *a, **k: calls.append(1) or within(*a, **k))
+    raw = pa.array([x.tobytes() for x in fps], pa.binary())
+    rows = pa.RecordBatch.from_arrays([pa.array(group), raw, pa.array(nodes)], ["grp", "fp", "node"])
+    batches = [rows.slice(k, 1000) for k in range(0, len(fps), 1000)]
+    got = [x for b in simhash.links_of_groups(iter(batches), 110) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert set(got) == want and len(got) == len(want) > 20
+    assert len(calls) <= 2 * np.bincount(group).max()  # before: one for each row
+
+
 def test_similarity_links_what_is_alike(spark):
     rng = random.Random(12)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
