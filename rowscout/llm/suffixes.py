@@ -46,6 +46,7 @@ ID_BITS = 40
 PART_BYTES = 8 << 20  # of source files whose documents make one part
 CHUNK = 1 << 19
 REFINE_ROWS = 4096
+PORTION_ROWS = 1 << 15  # runs of a part whose bytes are laid out at a time
 #: An anchor that occurs so often is dealt string by string, see below.
 OFTEN = 2000
 
@@ -285,43 +286,80 @@ def runs_of_part(part: Part, pid: int, replies: pa.Table, length: int, q: int, b
             hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
         picked.append([x[hit] for x in (key, doc, first, count)])
     width = row_width(length, q)
-    rows = contents(part.buf, picked[0][2], picked[0][3] + length - 1, width)
-    key, doc, first, count = picked[0]
+    key, _, first, count = picked[0]
+    count = count.astype(np.uint8)  # length - q + 1 at most
     if len(picked[1][0]):  # strings of anchors that occur often, each by itself and dealt by all its bytes
-        _, doc1, first1, many = picked[1]
-        first1 = np.repeat(first1, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        doc1, one = np.repeat(doc1, many), np.ones(len(first1), np.int64)
-        rows1 = contents(part.buf, first1, one + length - 1, width)
-        key1 = split_key(row_hashes(rows1) * MIX2, buckets)
-        key, doc, first, count = (np.concatenate(x) for x in ((key, key1), (doc, doc1), (first, first1), (count, one)))
-        rows = np.concatenate([rows, rows1])
+        _, _, first1, many = picked[1]
+        first1 = np.repeat(first1 - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        key1 = np.empty(len(first1), np.uint64)
+        for a in range(0, len(first1), PORTION_ROWS):
+            at = first1[a : a + PORTION_ROWS]
+            key1[a : a + len(at)] = split_key(row_hashes(contents(part.buf, at, np.full(len(at), length), width)) * MIX2, buckets)
+        key, first, count = np.r_[key, key1], np.r_[first, first1], np.r_[count, np.ones(len(first1), np.uint8)]
+        del first1, key1
+    del picked
     if not len(key):
         return table([], REPLIES)
+    order = np.argsort(key, kind="stable")
+    key, first, count = key[order], first[order], count[order]
+    del order
+    ends = np.r_[grouped(key)[1:], len(key)]
+    lost = np.zeros(len(part.buf), bool)  # starts that are settled here
+    out: list[tuple] = []
+    held: list[tuple] = []  # of one bucket
+    squeeze = zstandard.ZstdCompressor(level=1)
+
+    def send(bucket: int) -> None:
+        keys, *fields, body = zip(*held, strict=True)
+        head = np.array([sum(len(k) for k in keys)], "<u8").tobytes()
+        out.append((pid, bucket, squeeze.compress(head + b"".join(x.tobytes() for f in (keys, *fields, body) for x in f))))
+        held.clear()
+
+    last, a = -1, 0
+    while a < len(key):  # keys are taken up whole, as rows of one key are compared; buckets come one after the other
+        b = int(ends[min(np.searchsorted(ends, a + PORTION_ROWS), len(ends) - 1)])
+        for bucket, *kept in settled(part, key[a:b], first[a:b], count[a:b].astype(np.int64), length, width, lost):
+            if held and bucket != last:
+                send(last)
+            last = bucket
+            held.append(tuple(kept))
+        a = b
+    if held:
+        send(last)
+    if lost.any():
+        edge = np.flatnonzero(np.diff(np.r_[False, lost, False]))  # starts of two documents never touch
+        begin, end = edge[::2], edge[1::2]
+        doc = np.searchsorted(part.off, begin, "right") - 1
+        out.append((pid, -1 - pid, ranges_payload(doc, begin - part.off[doc], end - begin)))
+    return table(out, REPLIES)
+
+
+def settled(part: Part, key: np.ndarray, first: np.ndarray, count: np.ndarray, length: int, width: int, lost: np.ndarray):
+    """Of all runs of some keys: marks in `lost` the starts whose string an earlier document of the part has, and returns the
+    others by bucket: bucket, keys, ids, begins, documents, sizes, bytes."""
+    rows = contents(part.buf, first, count + length - 1, width)
     order, at = row_classes(rows, key)
-    key, doc, first, count, rows = key[order], doc[order], first[order], count[order], rows[order]
-    ids = part.ids[doc]
+    key, first, count, rows = key[order], first[order], count[order], rows[order]
+    doc = np.searchsorted(part.off, first, "right") - 1
+    ids, begin = part.ids[doc], first - part.off[doc]
     sizes = np.diff(np.r_[at, len(key)])
     least = np.minimum.reduceat(ids, at)
-    begin = first - part.off[doc]
     later = ids > np.repeat(least, sizes)
-    out = []
     if later.any():
         several = np.flatnonzero(np.add.reduceat(later, at))
         member, offset, span = members_covered(rows, count + length - 1, key, ids, at, several, length)
         take = later[member]
-        member, offset, span = member[take], offset[take], span[take]
-        out.append((pid, -1 - pid, ranges_payload(doc[member], begin[member] + offset, span)))
+        start, span = first[member[take]] + offset[take], span[take]
+        lost[np.repeat(start - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))] = True
     key, doc, count, rows, ids, begin = (x[~later] for x in (key, doc, count, rows, ids, begin))
     bucket = (key >> np.uint64(ID_BITS)).astype(np.int64)
-    edge = grouped(bucket)
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for a, b in spans_of(edge, len(key)):
+    found = []
+    for a, b in spans_of(grouped(bucket), len(key)):
         size = count[a:b] + length - 1
         body = rows[a:b, :-1][np.arange(rows.shape[1] - 1) < size[:, None]]
-        head = np.array([b - a], "<u8").tobytes()
-        parts = [key[a:b].astype("<u8"), ids[a:b].astype("<i8"), begin[a:b].astype("<u8"), doc[a:b].astype("<u4"), size.astype(np.uint8)]
-        out.append((pid, int(bucket[a]), squeeze.compress(head + b"".join(x.tobytes() for x in parts) + body.tobytes())))
-    return table(out, REPLIES)
+        fields = key[a:b].astype("<u8"), ids[a:b].astype("<i8"), begin[a:b].astype("<u8"), doc[a:b].astype("<u4"), size.astype(np.uint8)
+        found.append((int(bucket[a]), *fields, body))
+    return found
 
 
 def ranges_payload(doc: np.ndarray, begin: np.ndarray, count: np.ndarray) -> bytes:

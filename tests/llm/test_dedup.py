@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -432,6 +433,30 @@ def test_suffix_passes(monkeypatch, seed):
     assert local_cut(docs, length, q) == slow_cut([(d, t.encode()) for d, t in docs], length)
 
 
+@pytest.mark.parametrize("often", [2, 2000])
+def test_runs_in_small_portions(monkeypatch, often):
+    monkeypatch.setattr(suffixes, "PORTION_ROWS", 5)
+    monkeypatch.setattr(suffixes, "OFTEN", often)
+    docs = repeated_docs(300, 40)
+    assert local_cut(docs, 50, 24) == slow_cut([(d, t.encode()) for d, t in docs], 50)
+
+
+def test_copies_of_often_seen_strings_take_little_memory():
+    """A part with a large group of copies, all of whose anchors are often seen: every string of it is a row of its own."""
+    text = "".join(random.Random(3).choices("abcdefgh ", k=1000))
+    part = suffixes.Part(pa.table({"i": list(range(500)), "t": [text] * 500}), 0, 1)
+    one = np.arange(1)
+    wanted = suffixes.repeated_anchors(suffixes.anchors_of_part(part, 0, 50, 24, one))
+    wanted = pa.table([wanted.column("pid"), wanted.column("bucket"), wanted.column("often"), wanted.column("payload")], names=["pid", "bucket", "payload", "often"])
+    tracemalloc.start()
+    got = suffixes.runs_of_part(part, 0, wanted, 50, 24, one)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6  # of 475 500 rows of 80 bytes
+    settled = [np.frombuffer(p, "<u4").reshape(3, -1) for b, p in zip(got.column("bucket").to_pylist(), got.column("payload").to_pylist(), strict=True) if b < 0]
+    assert len(settled) == 1 and (settled[0].T == [[d, 0, 951] for d in range(1, 500)]).all()
+
+
 def test_all_that_goes_comes_from_the_refinement(monkeypatch):
     docs = repeated_docs(200, 40)
     monkeypatch.setattr(suffixes, "OFTEN", 5)
