@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6_378_137.0
 #: Beyond this cosine of the half-angle a chord stands in for the arc.
 NEARLY_PARALLEL = 0.9995
+#: A length that is off 1 by no more comes from rounding: dividing by it makes a quaternion no better.
+ROUNDING = 1e-15
 
 Quat = Sequence[Column]
 
@@ -38,18 +40,22 @@ def quat_normalize(q: Quat) -> list[Column]:
     return [c / ok for c in q]
 
 
-def with_slerp(df: DataFrame, p: Quat, q: Quat, t: Column, names: Sequence[str], checked: bool = True) -> DataFrame:
+def with_slerp(df: DataFrame, p: Quat, q: Quat, t: Column, names: Sequence[str], checked: bool = True, as_given: bool = False) -> DataFrame:
     """df with the shortest-path spherical interpolation between two rotations as unit quaternion columns `names`.
 
     Both ends are normalized and the target is negated where the ends point away from each other; ends that nearly
-    agree are interpolated along the chord. With `checked`, t outside [0, 1] raises. The steps are columns of their
-    own, one after the other: as one nested expression each would repeat the ones before it many times over.
+    agree are interpolated along the chord. With `checked`, t outside [0, 1] raises. With `as_given`, ends whose length
+    is 1 but for ROUNDING are not divided by it: of ends half a turn apart the cosine is 0 but for its last places, and
+    these say which way to turn. The steps are columns of their own, one after the other: as one nested expression each
+    would repeat the ones before it many times over.
     """
     if checked:
         t = F.when((t >= 0) & (t <= 1), t).otherwise(F.raise_error(F.lit("slerp needs 0 <= t <= 1")).cast("double"))
     c = lambda name: F.col(f"_slerp_{name}")
     add = lambda df, **cols: df.withColumns({f"_slerp_{k}": v for k, v in cols.items()})
     none = lambda n: F.when(n == 0, F.raise_error(F.lit("quaternion has no length")).cast("double")).otherwise(n)
+    if as_given:
+        none = lambda n, none=none: F.when(F.abs(n - 1) <= ROUNDING, 1.0).otherwise(none(n))
     out = add(df, t=t, na=quat_norm(p), nb=quat_norm(q))
     out = add(out, na=none(c("na")), nb=none(c("nb")))
     out = add(out, **{f"a{i}": x / c("na") for i, x in enumerate(p)}, **{f"b{i}": x / c("nb") for i, x in enumerate(q)})

@@ -257,3 +257,16 @@ def test_query_returns_raw_sample_on_exact_hit(spark):
     win = spark.createDataFrame([("session_001", 0, 10**9)], "session_id string, start_ts_ns long, end_ts_ns long")
     got = resample.tensorize(poses, win, ["session_id"], 20).orderBy("k").toPandas()
     assert got.qw[0] == 2.0 and got.qw[1] == 1.0
+
+
+def test_resampled_half_turns_go_the_way_their_samples_say(spark):
+    """The cosine of half a turn is 0 but for rounding, and its sign says which way to turn, as in the query's SQL."""
+    q = [(math.cos(math.radians(a) / 2), math.sin(math.radians(a) / 2)) for a in range(360)]
+    rows = [(t * 10**9, "r", f"{a:03}", 0.0, 0.0, 0.0, w, 0.0, 0.0, z, 0.0, 0.0, 0.0, 0.0) for a in range(360) for t, (w, z) in enumerate((q[a], q[(a + 180) % 360]))]
+    poses = spark.createDataFrame(rows, POSE_SCHEMA)
+    win = poses.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("start_ts_ns"), F.lit(10**9).alias("end_ts_ns"))
+    got = {int(r.session_id): r for r in resample.tensorize(poses, win, ["session_id"], 2).where("k = 1").collect()}
+    for a in range(360):
+        (w, z), (v, y) = q[a], q[(a + 180) % 360]
+        turn = -1 if w * v + z * y < 0 else 1
+        assert np.allclose((got[a].qw, got[a].qz), ((w + turn * v) * math.sqrt(0.5), (z + turn * y) * math.sqrt(0.5))), a
