@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.audit import DEFAULT_FOOTER_BYTES, RangeViolationError, Span
 from ..operators.motion import quaternion_inversions
-from ..operators.resample import assemble, tensorize, tensorize_imu
+from ..operators.resample import assemble, tensorize, tensorize_both
 from ..schemas import CHANNELS, IMU_SCHEMA, POSE_SCHEMA
 from ..sinks.media import extract_frames
 from ..sources.rowgroups import kept, scan
@@ -103,11 +103,11 @@ def _materialize(spark, windows: Sequence[SeekPlan], scalar: Sequence[str], hz:
     """The tensor rows of all windows (one DataFrame), and the pose samples they come from."""
     frame = _windows_frame(spark, windows)
     poses = _samples(reader, POSE_SCHEMA, windows, "pose")
-    tensor = tensorize(poses, frame, WINDOW, hz)
-    imu = None
     if any(c.startswith("imu_") for c in scalar):
-        imu = tensorize_imu(_samples(reader, IMU_SCHEMA, windows, "imu"), frame, WINDOW, hz)
-    return assemble(tensor, imu, WINDOW, scalar), poses
+        tensor = tensorize_both(poses, _samples(reader, IMU_SCHEMA, windows, "imu"), frame, WINDOW, hz)
+    else:
+        tensor = tensorize(poses, frame, WINDOW, hz)
+    return assemble(tensor, None, WINDOW, scalar), poses
 
 
 def _columns(scalar: Sequence[str]) -> int:

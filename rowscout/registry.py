@@ -442,7 +442,8 @@ def resample_imu(spark, sf):
 
 @query(_GRID + _IMU + "select session_id, k, p.ts_ns, x, y, z, ax, ay, az, gx, gy, gz from pose_tensor p join imu_tensor i using (session_id, k)")
 def pose_imu_tensor(spark, sf):
-    got = resample.assemble(_pose_tensor(spark, sf), _imu_tensor(spark, sf), KEYS, ("pos_xyz", "imu_accel", "imu_gyro"))
+    both = resample.tensorize_both(V.pose_s(spark, sf), V.imu_s(spark, sf), _pose_windows(spark, sf), KEYS, HZ, strict_imu=False)
+    got = resample.assemble(both, None, KEYS, ("pos_xyz", "imu_accel", "imu_gyro"))
     return got.drop("robot_id")
 
 

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import rowscout
+from rowscout import registry
 from rowscout.cli import main
 from rowscout.functions import spatial, times
 from rowscout.functions.motion import axis_angle, quat_normalize, with_slerp
@@ -18,7 +19,7 @@ from rowscout.operators import catalog, gaps, resample
 from rowscout.operators.audit import AuditedFile, RangeAuditor, RangeViolationError, Span, preflight, row_group_ids
 from rowscout.operators.catalog import _gap_of
 from rowscout.plans.predicate import parse
-from rowscout.schemas import POSE_CHANNELS, POSE_SCHEMA
+from rowscout.schemas import IMU_CHANNELS, IMU_SCHEMA, POSE_CHANNELS, POSE_SCHEMA
 from rowscout.sources.synthetic import synthetic_pose
 
 
@@ -283,3 +284,51 @@ def test_resampled_half_turns_go_the_way_their_samples_say(spark):
         (w, z), (v, y) = q[a], q[(a + 180) % 360]
         turn = -1 if w * v + z * y < 0 else 1
         assert np.allclose((got[a].qw, got[a].qz), ((w + turn * v) * math.sqrt(0.5), (z + turn * y) * math.sqrt(0.5))), a
+
+
+def test_both_tensors_at_once_equal_the_join_of_each(spark):
+    """Ties, far apart samples, windows that inertial samples miss in part or whole, and pieces of a few points."""
+    rng = random.Random(9)
+    poses, imu, win = [], [], []
+    for g in map(str, range(40)):
+        n = rng.choice([5, 60])
+        t = sorted(rng.choices(range(1000), k=n))
+        poses += [(10**6 * a, "r", g, rng.random(), float(a), 0.0, 1.0 + rng.random(), rng.random(), 0.5, rng.random(), 0.0, rng.random(), 0.0, 0.0) for a in t]
+        imu += [(10**6 * rng.randrange(-50, 1050), "r", g, *(rng.random() for _ in range(6))) for _ in range(rng.choice([0, 1, 8, 200]))]
+        win.append((g, 10**6 * t[0] + rng.choice([0, 1]), 10**6 * t[-1]))
+    poses = spark.createDataFrame(poses, POSE_SCHEMA)
+    imu = spark.createDataFrame(imu, IMU_SCHEMA)
+    win = spark.createDataFrame(win, "session_id string, start_ts_ns long, end_ts_ns long")
+    each = [f(d, win, ["session_id"], 400, strict=strict) for f, d, strict in ((resample.tensorize, poses, True), (resample.tensorize_imu, imu, False))]
+    want = each[0].join(each[1].drop("ts_ns"), ["session_id", "k"]).select("session_id", "k", "ts_ns", *each[0].columns[3:], *each[1].columns[3:])
+    rows = sorted(want.collect())
+    assert len(rows) > 3000
+    for per_chunk in (3, 50, 4096):
+        got = resample.tensorize_both(poses, imu, win, ["session_id"], 400, per_chunk, strict_imu=False)
+        assert got.columns == want.columns and sorted(got.collect()) == rows
+
+
+def test_both_tensors_never_extrapolate(spark):
+    poses = synthetic_pose(spark, 10, 3.0)
+    imu = poses.select("timestamp_ns", "session_id", *(F.col("x").alias(c) for c in IMU_CHANNELS)).where("timestamp_ns between 500000000 and 2500000000")
+    ask = lambda session, start, end, p=poses, i=imu, **how: resample.tensorize_both(p, i, spark.createDataFrame([(session, start, end)], "session_id string, start_ts_ns long, end_ts_ns long"), ["session_id"], 10, 7, **how)
+    assert ask("session_001", 10**9, 2 * 10**9).count() == 11
+    out = [("session_001", 0, 10**9, {}, 0), ("session_001", 10**9, 3 * 10**9, {}, 2_600_000_000), ("session_001", 2 * 10**9, 4 * 10**9, {"strict_imu": False}, 3_100_000_000)]
+    out += [("none", 5, 10**9, {}, 5), ("none", 5, 10**9, {"strict_imu": False}, 5)]
+    out += [("session_001", 10**9, 2 * 10**9, {"i": imu.where("false")}, 10**9), ("session_001", 10**9, 2 * 10**9, {"p": poses.where("false"), "strict_imu": False}, 10**9)]
+    for session, start, end, how, at in out:
+        with pytest.raises(Exception, match=f"extrapolation needed at {at}"):
+            ask(session, start, end, **how).collect()
+    assert [r.ts_ns for r in ask("session_001", 0, 29 * 10**8, strict_imu=False).orderBy("k").collect()] == list(range(5 * 10**8, 25 * 10**8 + 1, 10**8))
+
+
+def test_grid_points_are_not_dealt_out(spark):
+    """The two streams' grid points, many times the samples, were shuffled to be joined."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["pose_imu_tensor"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    filled = next(i for i, line in enumerate(plan.splitlines()) if "Generate explode" in line)
+    assert not [line for line in plan.splitlines()[:filled] if "Exchange" in line or "Join" in line]
